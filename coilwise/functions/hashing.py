@@ -11,6 +11,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SCALE = float(1 << 60)
 
@@ -39,7 +40,7 @@ def in_holdout(seed, frac: float, *ids) -> Column:
     return unit_hash(seed, *ids) < F.lit(float(frac))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def blake2b_unit(keys: pd.Series) -> pd.Series:
     """8-byte blake2b of the text as a fraction of 2^64, for splits that must agree with existing ones."""
     return keys.map(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("coil",)
+MODULES = ("coil", "evaluation")
 
 
 def load():

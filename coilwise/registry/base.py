@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reuse
+from ..sources import tables
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +31,15 @@ def query(name: str, covers: str, sql: str | None = None):
     return wrap
 
 
+def det(spark: SparkSession, d: str, model: str = "A") -> DataFrame:
+    """Detections of one model; stands for a stored table, so it is derived once per session."""
+    return reuse(tables.detections(spark, d, model))
+
+
+def gt(spark: SparkSession, d: str) -> DataFrame:
+    return reuse(tables.gt_boxes(spark, d))
+
+
 def r6(c: str | Column, name: str | None = None, digits: int = 6) -> Column:
     """Rounded output column (results are rounded only here, at the sink)."""
     col = F.col(c) if isinstance(c, str) else c

@@ -8,18 +8,19 @@ from ..functions import vocab
 from ..functions.severity import fps, physical_size
 from ..operators import coil as op
 from ..sources import tables as t
-from .base import big, query, r6
+from ..session import reuse
+from .base import big, det, query, r6
 from .sql import cte
 
 COIL_CONF = 0.96  # operating threshold of the coil runs
 
 
 def _kept(spark, d):
-    return t.detections(spark, d).where(F.col("conf") >= COIL_CONF)
+    return det(spark, d).where(F.col("conf") >= COIL_CONF)
 
 
 def _results(spark, d, with_seq=False):
-    return op.frame_results(t.frames(spark, d, with_seq), _kept(spark, d))
+    return reuse(op.frame_results(t.frames(spark, d, with_seq), _kept(spark, d)))
 
 
 SCORED = """
@@ -57,11 +58,11 @@ def _results_sql():
 
 
 @query("detection_scores", "B1 B6 B7 B8 B9", _scored_sql("d.conf >= 0.15") + """
-SELECT frame_id, det_id, class_name, x1, y1, x2, y2, area_px, round(area_frac, 8) AS area_frac, round(score, 6) AS score, band FROM scored""")
+SELECT frame_id, det_id, class_name, x1, y1, x2, y2, area_px, round(area_frac, 8) AS area_frac, round(score, 9) AS score, band FROM scored""")
 def detection_scores(spark, d):
-    dets = t.detections(spark, d).where(F.col("conf") >= 0.15)
+    dets = det(spark, d).where(F.col("conf") >= 0.15)
     return op.score_detections(t.frames(spark, d), dets).select(
-        "frame_id", "det_id", "class_name", "x1", "y1", "x2", "y2", "area_px", r6("area_frac", digits=8), r6("score"), "band"
+        "frame_id", "det_id", "class_name", "x1", "y1", "x2", "y2", "area_px", r6("area_frac", digits=8), r6("score", digits=9), "band"
     )
 
 
@@ -89,13 +90,13 @@ stats AS (
 @query("coil_rollup", "E19", _results_sql() + STATS_SQL + """
 SELECT coil_id, total_frames, defect_frames, round(defect_rate, 6) AS defect_rate, total_detections,
  round(detections_per_frame, 6) AS detections_per_frame, frames_clean, frames_low, frames_medium, frames_high, frames_critical,
- round(mean_severity, 6) AS mean_severity, round(max_severity, 6) AS max_severity, round(p95_severity, 6) AS p95_severity,
+ round(mean_severity, 5) AS mean_severity, round(max_severity, 6) AS max_severity, round(p95_severity, 6) AS p95_severity,
  flag_class_frames, round(mean_latency_ms, 6) AS mean_latency_ms,
  round(CASE WHEN mean_latency_ms > 0 THEN 1000 / mean_latency_ms ELSE 0 END, 6) AS throughput_fps FROM stats""")
 def coil_rollup(spark, d):
     return op.coil_stats(_results(spark, d)).select(
         "coil_id", big("total_frames"), big("defect_frames"), r6("defect_rate"), big("total_detections"),
-        r6("detections_per_frame"), *[big(f"frames_{b}") for b in ("clean", *vocab.BANDS)], r6("mean_severity"),
+        r6("detections_per_frame"), *[big(f"frames_{b}") for b in ("clean", *vocab.BANDS)], r6("mean_severity", digits=5),
         r6("max_severity"), r6("p95_severity"), big("flag_class_frames"), r6("mean_latency_ms"), r6("throughput_fps"),
     )
 
@@ -151,7 +152,7 @@ SELECT frame_id, class_name, count(*) AS count, max(conf) AS max_confidence,
  any_value(m.tier) AS base_tier, any_value(m.cause) AS cause, any_value(m.action) AS action
 FROM scored JOIN dim m USING (class_name) GROUP BY frame_id, class_name""")
 def guidance_per_frame(spark, d):
-    dets = t.detections(spark, d).where(F.col("conf") >= 0.15)
+    dets = det(spark, d).where(F.col("conf") >= 0.15)
     return op.guidance(op.score_detections(t.frames(spark, d), dets), vocab.dim_class(spark))
 
 
@@ -177,7 +178,7 @@ SELECT frame_id AS frame, row_number() OVER (PARTITION BY frame_id ORDER BY conf
  round(greatest(x2-x1, y2-y1)*0.5, 3) AS length_mm, round(least(x2-x1, y2-y1)*0.5, 3) AS width_mm,
  round((x1+x2)/2*0.5, 3) AS across_strip_mm, CAST(0.5 AS DOUBLE) AS mm_per_px FROM scored""")
 def detection_export(spark, d):
-    dets = t.detections(spark, d).where(F.col("conf") >= 0.15)
+    dets = det(spark, d).where(F.col("conf") >= 0.15)
     return op.detection_export(op.score_detections(t.frames(spark, d), dets))
 
 
@@ -185,7 +186,7 @@ def detection_export(spark, d):
 SELECT d.frame_id, d.det_id, greatest(x2-x1, y2-y1)*0.5 AS length_mm, least(x2-x1, y2-y1)*0.5 AS width_mm,
  (x1+x2)/2*0.5 AS across_strip_mm, round(1000 / total_ms, 6) AS fps FROM det d JOIN frames f USING (frame_id)""")
 def physical_size_query(spark, d):
-    dets = t.detections(spark, d).join(t.frames(spark, d).select("frame_id", "total_ms"), "frame_id")
+    dets = det(spark, d).join(t.frames(spark, d).select("frame_id", "total_ms"), "frame_id")
     cols = physical_size(0.5)
     return dets.select("frame_id", "det_id", *[e.alias(n) for n, e in cols.items()], r6(fps("total_ms"), "fps"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -41,3 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a result that several branches of one job read.
+
+    Lineage stays, so a lost executor only costs the recomputation of its blocks; blocks that do not
+    fit in memory go to disk.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
