@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("coil", "evaluation")
+MODULES = ("coil", "evaluation", "statistics")
 
 
 def load():
