@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("coil", "evaluation", "statistics", "calibration")
+MODULES = ("coil", "evaluation", "statistics", "calibration", "tiling")
 
 
 def load():
