@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("coil", "evaluation", "statistics", "calibration", "tiling")
+MODULES = ("coil", "evaluation", "statistics", "calibration", "tiling", "data")
 
 
 def load():
