@@ -160,7 +160,9 @@ def component_boxes(components: DataFrame) -> DataFrame:
     )
 
 
-def component_tiles(components: DataFrame, frames: DataFrame, tile: int, stride: int) -> DataFrame:
+def component_tiles(
+    components: DataFrame, frames: DataFrame, tile: int, stride: int, min_side: int = MIN_SIDE, min_px: int = MIN_FRAGMENT
+) -> DataFrame:
     """Tight boxes of the pixels inside each vertical tile; slivers drop the whole tile.
 
     ``keep`` is false for every box of a tile that cuts a defect too finely. A tile without rows here
@@ -175,7 +177,7 @@ def component_tiles(components: DataFrame, frames: DataFrame, tile: int, stride:
         F.min("y").alias("y_min"), F.max("y").alias("y_max"), F.sum(b - a + 1).alias("pixels"),
     )
     w, h = F.col("x_max") - F.col("x_min") + 1, F.col("y_max") - F.col("y_min") + 1
-    fine = (w < MIN_SIDE) | (h < MIN_SIDE) | (F.col("pixels") < MIN_FRAGMENT)
+    fine = (w < min_side) | (h < min_side) | (F.col("pixels") < min_px)
     tiny = box.groupBy("frame_id", "x0").agg(F.max(fine.cast("int")).alias("bad"))
     return box.join(tiny, ["frame_id", "x0"]).withColumn("keep", F.col("bad") == 0).drop("bad")
 
