@@ -11,6 +11,7 @@ from ..functions import vocab
 from ..functions.geometry import area, dbl
 from ..functions.severity import class_name
 from ..functions.stats import cost_per_image, cost_with_prevalence, effective_weight, f1, ratio
+from ..session import reuse
 from .matching import SMALL_GROUP, box_pairs, crowded_groups
 from .scale import ordered_positions, running, survivors_per_threshold, threshold_steps, with_grid
 
@@ -359,7 +360,8 @@ def average_precision(
     if weight:  # a repeated frame counts its boxes several times, one curve level each
         hits = hits.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__hit"))))
         hits = hits.withColumn("k", F.col("k") - F.col("__hit") + F.col("__c")).withColumn("rank", F.col("rank") - F.col("__one") + F.col("__c"))
-    hits = hits.select(*keys, "k", "rank", (F.col("k") / F.col("rank")).alias("p"))
+    # the levels are read by the envelope twice; keeping them avoids ranking the detections again
+    hits = reuse(hits.select(*keys, "k", "rank", (F.col("k") / F.col("rank")).alias("p")))
     env = running(hits, keys, ["k"], {"env": ("p", "max")}, descending=True).select(*keys, "k", "rank", "env")
     size = rows.groupBy(*keys).agg(F.sum("__one").alias("n_dets"), F.sum("__hit").alias("n_hits"))
     base = n_labels.select(*keys, "n_labels").join(size, keys, "left").fillna(0, subset=["n_dets", "n_hits"])
@@ -368,9 +370,11 @@ def average_precision(
     k0 = F.floor(x * n)
     up, down = (k0 + 1) / n <= x, k0 / n > x
     g = g.withColumn("__k", F.least(F.when(up, k0 + 1).when(down, k0 - 1).otherwise(k0), F.col("n_hits")))
-    here = env.select(*keys, F.col("k").alias("__k"), F.col("rank").alias("r_here"), F.col("env").alias("e_here"))
-    after = env.select(*keys, (F.col("k") - 1).alias("__k"), F.col("rank").alias("r_next"), F.col("env").alias("e_next"))
-    g = g.join(here, [*keys, "__k"], "left").join(after, [*keys, "__k"], "left")
+    # the level of a grid point and the one after it, found in one join
+    want = g.select(*keys, "__x", "__k", F.explode(F.array(F.col("__k"), F.col("__k") + 1)).alias("k"))
+    near = want.join(env, [*keys, "k"]).groupBy(*keys, "__x").agg(
+        F.max(F.when(F.col("k") > F.col("__k"), F.col("rank"))).alias("r_next"), F.max(F.when(F.col("k") > F.col("__k"), F.col("env"))).alias("e_next"))
+    g = g.join(near, [*keys, "__x"], "left")
     k = F.col("__k")
     at_k = F.greatest(k / (F.col("r_next") - 1), F.col("e_next"))  # last row of level k
     inside = at_k + (F.col("e_next") - at_k) / ((k + 1) / n - k / n) * (x - k / n)
