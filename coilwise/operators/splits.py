@@ -83,7 +83,8 @@ def _deal(pending: DataFrame, group: str, amount: str, need: dict[str, float], s
     run = running(src, ["__k"], [amount, "__u", group], {"__c": (amount, "sum")}, descending=True)
     top = pending.agg(F.max(amount).alias("__top"))
     run = run.join(F.broadcast(top))  # one row
-    block = F.least(dbl("__c_total"), 10 * dbl("__top"))
+    # equal blocks of at least ten of the largest groups, so no partial block is left over
+    block = dbl("__c_total") / F.greatest(dbl(1), F.floor(dbl("__c_total") / (10 * dbl("__top"))))
     middle = (F.col("__c") - F.col(amount) / 2) / block
     inside = middle - F.floor(middle)
     split: Column | None = None
