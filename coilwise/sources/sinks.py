@@ -57,9 +57,13 @@ def set_digest(rows: DataFrame, keys: Sequence[str], item: str, per_block: int =
     n = n.withColumn("__block", F.floor((F.col("__r") - 1) / per_block))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__s"))), lambda x: x["__s"]), "\n")
     blocks = n.groupBy(*keys, "__block").agg(F.sha2(text, 256).alias("__d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__block", "__d"))), lambda x: x["__d"]), "\n")
-    return blocks.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) == 1, F.max("__d")).otherwise(F.sha2(joined, 256)).alias("digest"))
+    # digests of blocks, of blocks of blocks, ...: four levels cover 4096^5 ids, each group stays small
+    for _ in range(4):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__block", "__d"))), lambda x: x["__d"]), "\n")
+        blocks = blocks.groupBy(*keys, F.floor(F.col("__block") / per_block).alias("__up")).agg(
+            F.when(F.count(F.lit(1)) == 1, F.max("__d")).otherwise(F.sha2(joined, 256)).alias("__d")
+        ).withColumnRenamed("__up", "__block")
+    return blocks.select(*keys, F.col("__d").alias("digest"))
 
 
 def nan_to_null(c: str | Column) -> Column:

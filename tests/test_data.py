@@ -191,3 +191,15 @@ def test_closed_coils_are_upserted(spark, tmp_path):
             table.append(got)
     mo.upsert_closed_coils(mo.coil_sessions(mo.read_events(spark, str(tmp_path / "in"))), read, write, str(tmp_path / "ck")).awaitTermination()
     assert [(r.frames, r.defects, r.disposition) for r in table[-1]] == [(10, 3, "HOLD")]
+
+
+def test_set_digest_levels(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    ids = spark.range(10).select((F.col("id") % 2).alias("k"), F.col("id").alias("i")).unionByName(spark.range(3).select(F.lit(9).cast("bigint").alias("k"), F.col("id").alias("i")))
+    got = {r.k: r.digest for r in sinks.set_digest(ids, ["k"], "i", per_block=2).collect()}
+    assert got[9] == sha(sha("0\n1") + "\n" + sha("2"))
+    assert got[0] == sha(sha(sha("0\n2") + "\n" + sha("4\n6")) + "\n" + sha("8"))
+    whole = {r.k: r.digest for r in sinks.set_digest(ids, ["k"], "i").collect()}
+    assert whole[1] == sha("1\n3\n5\n7\n9")
