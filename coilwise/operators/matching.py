@@ -176,10 +176,13 @@ def flag_found(gts: DataFrame, matches: DataFrame, keys: Sequence[str] = ("frame
 
 def suppress(
     boxes: DataFrame, group: Sequence[str], rank: Sequence[Column], id_col: str, max_iou: float,
-    inclusive: bool = False, small_group: int = SMALL_GROUP,
+    inclusive: bool = False, small_group: int = SMALL_GROUP, first: int | None = None,
 ) -> DataFrame:
     """Greedy suppression: walk by ``rank`` and drop a box overlapping a kept one too much.
 
+    ``first`` lets a small group stop after that many kept boxes; a caller that wants exactly the
+    first ones still ranks the result, because crowded groups return all kept boxes.
+
     A box goes when IoU > ``max_iou`` with a kept box (>= when ``inclusive``). ``rank`` are sort
     columns, smallest first; they become one struct so the order is total.
     """
@@ -187,8 +190,8 @@ def suppress(
     ranked = boxes.withColumn("__rank", F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.col(id_col).alias("id")))
     crowded = crowded_groups([boxes.select(*group)], group, small_group)
     if not _has_rows(crowded):
-        return _fold_suppress(ranked, group, id_col, max_iou, inclusive).drop("__rank")
-    calm = _fold_suppress(ranked.join(crowded, group, "left_anti"), group, id_col, max_iou, inclusive)
+        return _fold_suppress(ranked, group, id_col, max_iou, inclusive, first).drop("__rank")
+    calm = _fold_suppress(ranked.join(crowded, group, "left_anti"), group, id_col, max_iou, inclusive, first)
     hot = suppress_rounds(ranked.join(crowded, group, "left_semi"), group, id_col, max_iou, inclusive)
     return calm.unionByName(hot.select(calm.columns)).drop("__rank")
 
@@ -198,7 +201,9 @@ def _too_close(a: str, b: str, max_iou: float, inclusive: bool) -> Column:
     return v >= dbl(max_iou) if inclusive else v > dbl(max_iou)
 
 
-def _fold_suppress(ranked: DataFrame, group: Sequence[str], id_col: str, max_iou: float, inclusive: bool) -> DataFrame:
+def _fold_suppress(
+    ranked: DataFrame, group: Sequence[str], id_col: str, max_iou: float, inclusive: bool, first: int | None = None
+) -> DataFrame:
     """Small groups: one array per group, folded while carrying the kept boxes."""
     cols = [c for c in ranked.columns if c not in group]
     item = F.struct("__rank", *[c for c in cols if c != "__rank"])
@@ -217,9 +222,11 @@ def _fold_suppress(ranked: DataFrame, group: Sequence[str], id_col: str, max_iou
 
     start = F.slice(F.col("__a"), 1, 1)
     rest = F.slice(F.col("__a"), 2, F.greatest(F.size("__a") - 1, F.lit(0)))
-    kept = F.when(F.size("__a") == 1, F.col("__a")).otherwise(
-        F.aggregate(rest, start, lambda k, b: F.when(far_from(k, b), F.concat(k, F.array(b))).otherwise(k))
-    )
+    def step(k: Column, b: Column) -> Column:
+        more = F.when(far_from(k, b), F.concat(k, F.array(b))).otherwise(k)
+        return more if first is None else F.when(F.size(k) >= first, k).otherwise(more)
+
+    kept = F.when(F.size("__a") == 1, F.col("__a")).otherwise(F.aggregate(rest, start, step))
     return arr.select(*group, F.inline(kept))
 
 

@@ -52,9 +52,7 @@ def running(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     agg = {"sum": F.sum, "max": F.max}
-    local = src
-    for name, (col, kind) in values.items():
-        local = local.withColumn(name, agg[kind](col).over(inside))
+    local = src.select("*", *[agg[kind](col).over(inside).alias(name) for name, (col, kind) in values.items()])
 
     per_bucket = src.groupBy(*keys, b).agg(
         *[agg[kind](col).alias(f"__t_{name}") for name, (col, kind) in values.items()]
@@ -67,15 +65,10 @@ def running(
         *[F.sum(f"__t_{name}").over(whole).alias(f"{name}_total")
           for name, (_, kind) in values.items() if kind == "sum"],
     )
-    out = _null_safe_join(local, offsets, [*keys, b])
-    for name, (_, kind) in values.items():
-        out = out.withColumn(name, _combine(kind, F.col(f"__o_{name}"), F.col(name)))
-    return out.drop(b, *[f"__o_{name}" for name in values])
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner equi-join on generated, never-NULL bucket columns and non-NULL keys."""
-    return left.join(right, list(on))
+    out = local.join(offsets, [*keys, b])
+    done = [_combine(kind, F.col(f"__o_{name}"), F.col(name)).alias(name) for name, (_, kind) in values.items()]
+    totals = [f"{name}_total" for name, (_, kind) in values.items() if kind == "sum"]
+    return out.select(*[c for c in df.columns if c not in values], *done, *totals)
 
 
 def ordered_positions(
@@ -101,9 +94,8 @@ def ordered_positions(
     )
     inside = running(df, [*keys, score], list(ties), {f"__i_{n}": (values[n], "sum") for n in names})
     out = inside.join(prefix, [*keys, score])
-    for n in names:
-        out = out.withColumn(n, F.col(f"__before_{n}") + F.col(f"__i_{n}"))
-    return out.drop(*[f"__before_{n}" for n in names], *[f"__i_{n}" for n in names], *[f"__i_{n}_total" for n in names])
+    here = [(F.col(f"__before_{n}") + F.col(f"__i_{n}")).alias(n) for n in names]
+    return out.select(*[c for c in df.columns if c not in names], *here, *[f"{n}_total" for n in names])
 
 
 def exact_quantiles(

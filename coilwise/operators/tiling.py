@@ -290,7 +290,7 @@ def thin_patches(positions: DataFrame, seed: str, max_iou: float = MAX_PATCH_IOU
         "x1": dbl("x0"), "y1": dbl("y0"), "x2": dbl(F.col("x0") + F.col("size")), "y2": dbl(F.col("y0") + F.col("size")),
         "pos_id": F.col("y0").cast("bigint") * 100000 + F.col("x0"), "draw": order_key(seed, "frame_id", "size", "x0", "y0"),
     })
-    kept = suppress(p, ["frame_id", "size"], [F.col("draw")], "pos_id", max_iou, inclusive=True)
+    kept = suppress(p, ["frame_id", "size"], [F.col("draw")], "pos_id", max_iou, inclusive=True, first=cap)
     order = Window.partitionBy("frame_id", "size").orderBy("draw", "pos_id")
     out = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
     return out.withColumn("imgsz", network_input_size("size", 1.6)).drop("pos_id", "draw")
