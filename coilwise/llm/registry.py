@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("mixing", "notices", "quality", "token_files", "archives")
+MODULES = ("mixing", "templates", "notices", "quality", "token_files", "url_rules", "archives")
 
 
 def llm_query(name: str, sql: str | None = None):
