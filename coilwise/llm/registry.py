@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("mixing", "templates", "notices", "quality", "token_files", "url_rules", "archives")
+MODULES = ("mixing", "templates", "repeats", "notices", "quality", "token_files", "url_rules", "ngram_join", "archives")
 
 
 def llm_query(name: str, sql: str | None = None):
