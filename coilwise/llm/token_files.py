@@ -35,10 +35,11 @@ END_ID = 1
 LIMIT = 18
 BLOCK = 1 << 16
 STEP = 256
-REMEMBER = 600_000  # words whose ids a worker keeps
+REMEMBER = 1_500_000  # pieces whose ids a worker keeps
 
 _known: dict[str, dict[str, bytes]] = {}
 _tools: dict[str, object] = {}
+_ends: dict[str, np.ndarray] = {}
 
 
 class Tokeniser:
@@ -54,39 +55,39 @@ class Tokeniser:
         if file not in _tools:
             from tokenizers import Tokenizer
 
-            _tools[file] = Tokenizer.from_file(file)
+            tool = _tools[file] = Tokenizer.from_file(file)
+            vocabulary = tool.get_vocab()
+            _ends[file] = np.zeros(max(vocabulary.values()) + 1, bool)
+            _ends[file][[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
 
-    def _learn(self, pieces: list[str]) -> None:
-        known, tool, cut, fresh = self.known, _tools[self.file], {}, set()
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of pieces, with their words encoded together: each word ends with an id that ends words."""
+        known, tool = self.known, _tools[self.file]
         if len(known) + len(pieces) > REMEMBER:
             known.clear()
             known[""] = b""
-        for p in pieces:
-            if p[-1] in ".," and p[:-1].isalpha():
-                cut[p] = p[:-1]
-                fresh.update((p[:-1], p[-1]))
-            else:
-                fresh.add(p)
-        fresh = [p for p in fresh if p not in known]
-        for p, e in zip(fresh, tool.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+        cut = {p: p[:-1] for p in pieces if p[-1] in ".," and p[:-1].isalpha()}
+        fresh = {p for p in (*cut.values(), ".", ",") if p not in known} | {p for p in pieces if p not in cut}
+        words = [p for p in fresh if p.isalpha()]
+        ids = np.array(tool.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        last = np.flatnonzero(_ends[self.file][ids]) + 1
+        if len(last) == len(words):
+            known.update(zip(words, map(bytes, np.split(ids, last)), strict=False))
+        else:
+            words = []
+        rest = list(fresh.difference(words))
+        for p, e in zip(rest, tool.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[p] = np.array(e.ids, "<u4").tobytes()
         for p, stem in cut.items():
             known[p] = known[stem] + known[p[-1]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for t in texts:
-            # the tokenizer lower-cases letter by letter; the two letters whose case hangs on context or length stay
-            pieces = (t if "Σ" in t or "İ" in t else t.lower()).replace("\n", " ").split(" ")
-            found = list(map(self.known.get, pieces))
-            if None in found:
-                self._learn(list({p for p, f in zip(pieces, found, strict=True) if f is None}))
-                found = list(map(self.known.get, pieces))
-                if None in found:  # one text with more words than are kept
-                    e = _tools[self.file].encode(t, add_special_tokens=False)
-                    found = [np.array(e.ids, "<u4").tobytes()]
-            out.append(b"".join(found))
-        return out
+        # the tokenizer lower-cases letter by letter; the two letters whose case hangs on context or length stay
+        cut = [(t if "Σ" in t or "İ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
 
 def tokenised(docs: DataFrame, file: str, ranges: int) -> tuple[DataFrame, str]:
