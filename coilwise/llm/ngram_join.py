@@ -8,7 +8,7 @@ Jaccard similarity is SHARE percent or more. Work is done on distinct sets, so e
   more its shingles occur elsewhere (an estimate of its candidates from corpus counts), the longer its
   prefix and the more shared prefix shingles a pair must show before its sets are compared.
 * The global order is by hash, with the frequent shingles last. Frequent ones are found by counting every
-  shingle in the lowest fifth of the hashes over the whole corpus; all others keep their hash order. Which
+  shingle in the lowest third of the hashes over the whole corpus; all others keep their hash order. Which
   shingles go last changes only the cost. The bound on the count is such that at most FREQUENT of them
   exist (there are only so many occurrences), so they may be broadcast.
 * Postings of one shingle form a list. Lists of up to LIST sets emit their pairs, which are counted per
@@ -45,7 +45,7 @@ FREQUENT = 1_000_000
 OFTEN = 64
 LIST = 64
 ROUNDS = 3
-LOW = np.uint64(2**64 // 5)
+LOW = np.uint64(2**64 // 3)
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def _sets(b, key, offsets, state):
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(sorted hashes, counts, bound): shingles of the lowest fifth that occur in more than ``bound`` texts."""
+    """(sorted hashes, counts, bound): shingles of the lowest third that occur in more than ``bound`` texts."""
     counts, path = stored(_mapped(docs, _low_counts, "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c")).where(f"c > {OFTEN}"), "counts")
     # at most FREQUENT shingles can hold more than total / FREQUENT occurrences each
     often = max(OFTEN, (counts.agg(F.sum("c")).first()[0] or 0) / FREQUENT)
@@ -155,10 +155,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             good = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
                 inter = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * inter >= SHARE * (len(p) + len(q) - inter))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
