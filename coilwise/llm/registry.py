@@ -24,4 +24,9 @@ def llm_query(name: str, sql: str | None = None):
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
     for m in MODULES:
         importlib.import_module(f"{__package__}.{m}")
-    return dict(QUERIES), dict(SQL)
+    import corpus_pipeline
+
+    queries, sql = {**QUERIES, "pipeline": corpus_pipeline.run}, dict(SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return queries, sql
