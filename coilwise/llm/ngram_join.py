@@ -13,8 +13,9 @@ Jaccard similarity is SHARE percent or more. Work is done on distinct sets, so e
   exist (there are only so many occurrences), so they may be broadcast.
 * Postings of one shingle form a list. Lists of up to LIST sets emit their pairs, which are counted per
   pair. Longer lists, as large groups of near copies make them, emit only pairs with a hub, in rounds with
-  another hub each; sets that are connected by then need no comparison. What a list still holds in
-  different components is compared in full, so no link is lost that connects two components.
+  another hub each; sets that are connected by then need no comparison. Sets of different components that
+  share the l shingles in such lists are then compared in full, so no link is lost that connects two
+  components.
 
 Pairs that pass are verified on their whole sets. Hashes have 64 bits; a set's identity is a 64-bit digest
 with its size.
@@ -212,7 +213,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     left, right = big.select(F.col("sid").alias("sid_a"), F.col("big").alias("big_a")), big.select(F.col("sid").alias("sid_b"), F.col("big").alias("big_b"))
     counted = counted.join(left, "sid_a", "left").join(right, "sid_b", "left").na.fill(0, ["big_a", "big_b"])
     counted = counted.where(F.col("shared") >= F.col("l") - F.least("big_a", "big_b")).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-    members = wide.select("t", "sid", "n").withColumn("comp", F.col("sid"))
+    members = wide.select("t", "sid", "n", "l").withColumn("comp", F.col("sid"))
     pairs, p2 = stored(counted.union(_hub_pairs(members, 0)).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).union(wide.select("sid")).distinct()
@@ -222,12 +223,15 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     comps = components(found)
     if not wide.isEmpty():
         for turn in (*range(1, ROUNDS + 1), None):
-            held = wide.select("t", "sid", "n").join(comps.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+            held = wide.select("t", "sid", "n", "l").join(comps.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
             mixed = held.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
             held, path = stored(held.join(mixed, "t", "left_semi"), "held")
             if turn is None:
-                x, y = held.select("t", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "comp")]), held.select("t", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "comp")])
-                next_pairs = x.join(y, "t").where((F.col("comp_a") < F.col("comp_b")) & _alike("n_a", "n_b")).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
+                # a pair that shares a shingle of a short list as well was counted there, with these lists allowed for
+                x, y = (held.select("t", *[F.col(c).alias(f"{c}_{e}") for c in ("sid", "n", "l", "comp")]) for e in "ab")
+                shared = x.join(y, "t").where((F.col("comp_a") < F.col("comp_b")) & _alike("n_a", "n_b")).groupBy(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).agg(
+                    F.count(F.lit(1)).alias("shared"), F.first(F.least("l_a", "l_b")).alias("l"))
+                next_pairs = shared.where("shared >= l").select("a", "b")
             else:
                 next_pairs = _hub_pairs(held, turn)
             more, _ = stored(verified(next_pairs, sets), "links")
