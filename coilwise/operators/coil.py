@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,8 +14,10 @@ from ..functions.geometry import area, clamp_box, dbl
 from ..functions.severity import band_order, class_name, detection_score, fps, physical_size, severity_band
 from .scale import exact_quantiles, running
 
-# 0.6^80 is below 2^-54: later ranks multiply the residual by exactly 1.0 in double arithmetic.
-RANKS_THAT_COUNT = 80
+
+def ranks_that_count(decay: float) -> int:
+    """Ranks whose share can change a double: where decay^rank is below 2^-54, a factor is exactly 1.0."""
+    return math.ceil(54 / -math.log2(decay)) + 1
 
 
 def score_detections(frames: DataFrame, dets: DataFrame, names: Sequence[str] = vocab.CLASSES) -> DataFrame:
@@ -30,19 +33,15 @@ def score_detections(frames: DataFrame, dets: DataFrame, names: Sequence[str] =
 
 
 def noisy_or(scored: DataFrame, keys: Sequence[str] = ("frame_id",), score: str = "score", tie: str = "det_id") -> DataFrame:
-    """Damped noisy-OR over the ranked scores of each key.
+    """Damped noisy-OR over the ranked scores of each key: one minus the product of the residuals.
 
-    Only the leading ranks can change a double, so the ranking is a top-k that Spark limits before
-    the shuffle; a key with very many boxes never reaches one task whole.
+    Later ranks multiply by exactly 1.0, so the ranking is a top-k that Spark limits before the shuffle
+    without changing any result; a key with very many boxes never reaches one task whole.
     """
     order = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(tie).asc())
-    top = scored.select(*keys, score, F.row_number().over(order).alias("__r")).where(
-        F.col("__r") <= RANKS_THAT_COUNT
-    )
+    top = scored.select(*keys, score, F.row_number().over(order).alias("__r")).where(F.col("__r") <= ranks_that_count(vocab.RANK_DECAY))
     share = dbl(score) / 100 * F.pow(dbl(vocab.RANK_DECAY), F.col("__r") - 1)
-    full = F.max(F.when(share >= 1, 1).otherwise(0))
-    kept = F.exp(F.sum(F.when(share < 1, F.log1p(-share)).otherwise(dbl(0))))
-    severity = F.when(full == 1, dbl(100)).otherwise(100 * (1 - kept))
+    severity = 100 * (1 - F.product(1 - F.least(share, dbl(1))))
     return top.groupBy(*keys).agg(F.least(F.greatest(severity, dbl(0)), dbl(100)).alias("severity_score"))
 
 
