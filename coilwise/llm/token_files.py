@@ -63,9 +63,6 @@ class Tokeniser:
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces, with their words encoded together: each word ends with an id that ends words."""
         known, tool = self.known, _tools[self.file]
-        if len(known) + len(pieces) > REMEMBER:
-            known.clear()
-            known[""] = b""
         cut = {p: p[:-1] for p in pieces if p[-1] in ".," and p[:-1].isalpha()}
         fresh = {p for p in (*cut.values(), ".", ",") if p not in known} | {p for p in pieces if p not in cut}
         words = [p for p in fresh if p.isalpha()]
@@ -84,7 +81,12 @@ class Tokeniser:
     def ids(self, texts: list[str]) -> list[bytes]:
         # the tokenizer lower-cases letter by letter; the two letters whose case hangs on context or length stay
         cut = [(t if "Σ" in t or "İ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.known)
+        pieces = set().union(*cut)
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > REMEMBER:  # start over with the pieces of these texts
+            self.known.clear()
+            self.known[""] = b""
+            new = pieces - {""}
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]

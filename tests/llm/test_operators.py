@@ -183,6 +183,15 @@ def test_token_files(docs, none):
     assert token_files.token_digest(none).count() == 0
 
 
+def test_tokeniser_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBER", 8)
+    t = token_files.Tokeniser(token_files.default_tokenizer())
+    want = t.ids(["a b c d, e."])
+    for text in ("f g h", "a b c d, e.", "i j k l m n o p q", "a b x", "b y a"):
+        t.ids([text])
+    assert t.ids(["a b c d, e."]) == want
+
+
 def test_url_rules(spark):
     urls = [
         "http://www.Example.NET/en/1?a=b", "https://a.b.net/x", "ftp://example.com/de/", "http://example.com/fr/1", "https://x.org/fr/9#z", "http://x.org/frx", None, "no scheme", "://", "http://EXAMPLE.net", "x://h?/fr/", "http://notexample.net/en/",
