@@ -144,7 +144,8 @@ def convert_archives(arcs: DataFrame, folder: str, least: int = 0) -> None:
     firsts = keys.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("first"))
     pages = keys.distinct().join(firsts, ["digest", "bytes"], "left").select("page_id", F.col("first.page_id").alias("first"), "digest", F.col("first").isNotNull().alias("shared"))
-    rows = arcs.alias("a").join(pages.alias("p"), F.col("a.page_id").eqNullSafe(F.col("p.page_id"))).select("a.page_id", "arc", "first", "digest", "shared")
+    # a merge join, so rows that repeat a page lie in one task also where the table is small
+    rows = arcs.alias("a").join(pages.hint("merge").alias("p"), F.col("a.page_id").eqNullSafe(F.col("p.page_id"))).select("a.page_id", "arc", "first", "digest", "shared")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()  # rows that repeat a first page, which lie together after the join
