@@ -35,7 +35,7 @@ END_ID = 1
 LIMIT = 18
 BLOCK = 1 << 16
 STEP = 256
-REMEMBER = 1_500_000  # pieces whose ids a worker keeps
+REMEMBER = 2_200_000  # pieces whose ids a worker keeps
 
 _known: dict[str, dict[str, bytes]] = {}
 _tools: dict[str, object] = {}
