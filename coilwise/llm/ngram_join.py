@@ -12,10 +12,13 @@ Jaccard similarity is SHARE percent or more. Work is done on distinct sets, so e
   shingles go last changes only the cost. The bound on the count is such that at most FREQUENT of them
   exist (there are only so many occurrences), so they may be broadcast.
 * Postings of one shingle form a list. Lists of up to LIST sets emit their pairs, which are counted per
-  pair. Longer lists, as large groups of near copies make them, emit only pairs with a hub, in rounds with
-  another hub each; sets that are connected by then need no comparison. Sets of different components that
-  share the l shingles in such lists are then compared in full, so no link is lost that connects two
-  components.
+  pair. Longer lists, as large groups of near copies make them, emit only pairs with a hub: first the set
+  with the fewest prefix shingles outside such lists, which lies nearest the middle of its group, then a
+  random one. Sets that are connected by then need no comparison. Sets of different components that share
+  the l shingles in such lists are still candidates, so no link is lost that connects two components; of
+  those pairs, the ones whose parity sketches differ too much are left out where the lists meet. A sketch
+  holds, in each of its BITS bits, whether an odd number of the set's shingles fall there, so two sketches
+  differ in at most as many bits as the sets in shingles, and no pair that links is left out.
 
 Pairs that pass are verified on their whole sets. Hashes have 64 bits; a set's identity is a 64-bit digest
 with its size.
@@ -45,7 +48,9 @@ SHARE = 85
 FREQUENT = 1_000_000
 OFTEN = 64
 LIST = 64
-ROUNDS = 3
+ROUNDS = 1
+BITS = 1024
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
 LOW = np.uint64(2**64 // 3)
 
 
@@ -80,6 +85,18 @@ def set_digests(key: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
+def parity_sketches(key: np.ndarray, offsets: np.ndarray, rows: int = 1000) -> np.ndarray:
+    """BITS bits of each set, as rows of 64-bit words: the parity of the number of its shingles at each bit."""
+    n, bit = len(offsets) - 1, (mix(key ^ np.uint64(0x8BB84B93962EACC9)) % np.uint64(BITS)).astype(np.int64)
+    out = np.zeros((n, BITS // 64), np.int64)
+    for a in range(0, n, rows):
+        z = min(a + rows, n)
+        own = np.repeat(np.arange(z - a), np.diff(offsets[a : z + 1]))
+        odd = np.bincount(own * BITS + bit[offsets[a] : offsets[z]], minlength=(z - a) * BITS) & 1
+        out[a:z] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(z - a, -1)
+    return out
+
+
 def prefixes(key: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, times: np.ndarray, often: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places in ``key`` of all prefix shingles, their text, l of each text)."""
     n = np.diff(offsets)
@@ -115,8 +132,9 @@ def _low_counts(b, key, offsets, state):
 
 
 def _sets(b, key, offsets, state):
-    sid = set_digests(key, offsets)
-    return pa.RecordBatch.from_arrays([pa.array(sid), pa.array([key[a:z].tobytes() for a, z in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["sid", "keys"])
+    sid, sketch = set_digests(key, offsets), parity_sketches(key, offsets)
+    keys = pa.array([key[a:z].tobytes() for a, z in zip(offsets, offsets[1:], strict=False)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(sid), keys, *map(pa.array, sketch.T.copy())], ["sid", "keys", *SKETCH])
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -150,6 +168,12 @@ def _alike(a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * SHARE)
 
 
+def _near(a: str, b: str):
+    """False only for pairs that can't link: of s shingles that differ, 100 (n_a + n_b - s) >= SHARE (n_a + n_b + s)."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{s}_{a}").bitwiseXOR(F.col(f"{s}_{b}"))) for s in SKETCH])
+    return differ * (100 + SHARE) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - SHARE)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("keys").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("keys").alias("y")), "b")
@@ -188,8 +212,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    hub = lists.groupBy("t").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "comp")).alias("hub"))
+def _hub_pairs(lists: DataFrame, order) -> DataFrame:
+    hub = lists.groupBy("t").agg(F.min(F.struct(order.alias("order"), F.xxhash64("sid").alias("h"), "sid", "n", "comp")).alias("hub"))
     pairs = lists.join(hub, "t").where((F.col("sid") != F.col("hub.sid")) & (F.col("comp") != F.col("hub.comp")) & _alike("n", "hub.n"))
     return pairs.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
 
@@ -213,12 +237,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     left, right = big.select(F.col("sid").alias("sid_a"), F.col("big").alias("big_a")), big.select(F.col("sid").alias("sid_b"), F.col("big").alias("big_b"))
     counted = counted.join(left, "sid_a", "left").join(right, "sid_b", "left").na.fill(0, ["big_a", "big_b"])
     counted = counted.where(F.col("shared") >= F.col("l") - F.least("big_a", "big_b")).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-    members = wide.select("t", "sid", "n", "l").withColumn("comp", F.col("sid"))
-    pairs, p2 = stored(counted.union(_hub_pairs(members, 0)).distinct(), "pairs")
+    members = wide.select("t", "sid", "n", "l").join(big, "sid").withColumn("comp", F.col("sid"))
+    outside = F.expr(f"n - (n * {SHARE} + 99) div 100 + l - big")
+    pairs, p2 = stored(counted.union(_hub_pairs(members, outside)).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).union(wide.select("sid")).distinct()
     one = nodes.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("one")).select("one").distinct()
-    sets, p3 = stored(_mapped(docs.select("doc_id", "text").join(one, docs["doc_id"].eqNullSafe(one["one"]), "left_semi"), _sets, "sid bigint, keys binary").dropDuplicates(["sid"]), "sets")
+    sets, p3 = stored(_mapped(docs.select("doc_id", "text").join(one, docs["doc_id"].eqNullSafe(one["one"]), "left_semi"), _sets, ", ".join(["sid bigint", "keys binary", *[f"{s} bigint" for s in SKETCH]])).dropDuplicates(["sid"]), "sets")
     found, _ = stored(verified(pairs, sets), "links")
     comps = components(found)
     if not wide.isEmpty():
@@ -228,12 +253,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             held, path = stored(held.join(mixed, "t", "left_semi"), "held")
             if turn is None:
                 # a pair that shares a shingle of a short list as well was counted there, with these lists allowed for
-                x, y = (held.select("t", *[F.col(c).alias(f"{c}_{e}") for c in ("sid", "n", "l", "comp")]) for e in "ab")
-                shared = x.join(y, "t").where((F.col("comp_a") < F.col("comp_b")) & _alike("n_a", "n_b")).groupBy(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).agg(
+                x, y = (held.join(sets.select("sid", *SKETCH), "sid").select("t", *[F.col(c).alias(f"{c}_{e}") for c in ("sid", "n", "l", "comp", *SKETCH)]) for e in "ab")
+                shared = x.join(y, "t").where((F.col("comp_a") < F.col("comp_b")) & _alike("n_a", "n_b") & _near("a", "b")).groupBy(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).agg(
                     F.count(F.lit(1)).alias("shared"), F.first(F.least("l_a", "l_b")).alias("l"))
                 next_pairs = shared.where("shared >= l").select("a", "b")
             else:
-                next_pairs = _hub_pairs(held, turn)
+                next_pairs = _hub_pairs(held, F.xxhash64("sid", F.lit(turn)))
             more, _ = stored(verified(next_pairs, sets), "links")
             drop(spark, path)
             if not more.isEmpty():
