@@ -13,8 +13,9 @@ Jaccard similarity is SHARE percent or more. Work is done on distinct sets, so e
   exist (there are only so many occurrences), so they may be broadcast.
 * Postings of one shingle form a list. Lists of up to LIST sets emit their pairs, which are counted per
   pair. Longer lists, as large groups of near copies make them, emit only pairs with a hub: first the set
-  with the fewest prefix shingles outside such lists, which lies nearest the middle of its group, then a
-  random one. Sets that are connected by then need no comparison. Sets of different components that share
+  with the fewest prefix shingles outside such lists, which lies nearest the middle of its group, then in
+  ROUNDS rounds a random one that each list draws for itself, so that a set meets as many random others as
+  it has such lists. Sets that are connected by then need no comparison. Sets of different components that share
   the l shingles in such lists are still candidates, so no link is lost that connects two components; of
   those pairs, the ones whose parity sketches differ too much are left out where the lists meet. A sketch
   holds, in each of its BITS bits, whether an odd number of the set's shingles fall there, so two sketches
@@ -47,8 +48,8 @@ WORDS = 4
 SHARE = 85
 FREQUENT = 1_000_000
 OFTEN = 64
-LIST = 64
-ROUNDS = 1
+LIST = 16
+ROUNDS = 2
 BITS = 1024
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 LOW = np.uint64(2**64 // 3)
@@ -258,7 +259,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     F.count(F.lit(1)).alias("shared"), F.first(F.least("l_a", "l_b")).alias("l"))
                 next_pairs = shared.where("shared >= l").select("a", "b")
             else:
-                next_pairs = _hub_pairs(held, F.xxhash64("sid", F.lit(turn)))
+                next_pairs = _hub_pairs(held, F.xxhash64("sid", "t", F.lit(turn)))
+                for e in "ab":
+                    next_pairs = next_pairs.join(sets.select(F.col("sid").alias(e), F.octet_length("keys").alias(f"n_{e}"), *[F.col(s).alias(f"{s}_{e}") for s in SKETCH]).withColumn(f"n_{e}", F.expr(f"n_{e} div 8")), e)
+                next_pairs = next_pairs.where(_near("a", "b")).select("a", "b")
             more, _ = stored(verified(next_pairs, sets), "links")
             drop(spark, path)
             if not more.isEmpty():
