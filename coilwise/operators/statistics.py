@@ -103,35 +103,28 @@ def design_effect(clusters: DataFrame, hits: str, size: str, keys: Sequence[str]
     return a.withColumns({"rate": p, "design_effect": deff}).withColumn("effective_n", F.col("n") / F.col("design_effect")).drop("__hh", "__hs", "__ss")
 
 
-MAX_PROFILES = 200_000
-
-
 def profile_bootstrap(clusters: DataFrame, hits: str, size: str, resamples: int = 2000, seed: int = 1) -> DataFrame:
     """Resampled rates for very many clusters, from the distinct (hits, size) profiles.
 
-    Clusters with equal hits and size are exchangeable, so drawing n clusters is a multinomial draw
-    over the profiles: the same distribution at a cost that does not grow with the clusters. The
-    profile table is shipped to the tasks only after its size is checked.
+    Every cluster weighs Poisson(1) in a resample, so the m clusters of one profile weigh Poisson(m)
+    together. Weights are drawn beside the profile from (seed, hits, size) and summed per task before
+    they are shuffled: no draw table, and the result does not depend on the partitioning. Null hits or
+    sizes count as 0; hits and sizes are whole numbers of at least 0. An empty table gives rates of 0.
     """
-    prof = clusters.groupBy(hits, size).agg(F.count(F.lit(1)).alias("m"))
-    rows = prof.limit(MAX_PROFILES + 1).collect()  # bounded; the full table is used or none of it
-    if len(rows) > MAX_PROFILES:
-        sums = bootstrap_sums(clusters.withColumn("__id", F.monotonically_increasing_id()), "__id", [hits, size], resamples, str(seed))
-        return sums.select("b", (F.col(hits) / F.greatest(dbl(size), dbl(1))).alias("rate"))
-    rows = sorted((int(r[0]), int(r[1]), int(r[2])) for r in rows)
-    h, s, m = (np.array(v, dtype=float) for v in zip(*rows)) if rows else (np.zeros(0),) * 3
-
-    def resample(batches):
-        n = int(m.sum())
+    prof = clusters.groupBy(F.coalesce(F.col(hits).cast("bigint"), F.lit(0)).alias("h"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("s")).agg(F.count(F.lit(1)).alias("m"))
+
+    def weigh(batches):
+        h_sum, s_sum = np.zeros(resamples, np.int64), np.zeros(resamples, np.int64)
         for pdf in batches:
-            out = []
-            for b in pdf["id"]:
-                k = np.random.default_rng([seed, int(b)]).multinomial(n, m / m.sum())
-                out.append((k @ h) / max(k @ s, 1.0))
-            yield pd.DataFrame({"b": pdf["id"], "rate": out})
-
-    ids = clusters.sparkSession.range(resamples)
-    return ids.mapInPandas(resample, "b bigint, rate double")
+            for h, s, m in pdf.itertuples(index=False):
+                w = np.random.default_rng([seed, h, s]).poisson(m, resamples)
+                h_sum += w * h
+                s_sum += w * s
+        yield pd.DataFrame({"b": np.arange(resamples), "h": h_sum, "s": s_sum})
+
+    sums = prof.mapInPandas(weigh, "b bigint, h bigint, s bigint").groupBy("b").agg(F.sum("h").alias("h"), F.sum("s").alias("s"))
+    rate = F.coalesce(F.col("h") / F.greatest(dbl("s"), dbl(1)), F.lit(0.0))
+    return clusters.sparkSession.range(resamples).withColumnRenamed("id", "b").join(sums, "b", "left").select("b", rate.alias("rate"))
 
 
 def cluster_auc_draws(scores: DataFrame, cluster: str, resamples: int = 2000, seed: str = "auc", score: str = "score", label: str = "label") -> DataFrame:

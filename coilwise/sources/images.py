@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 NOISE_LAPLACIAN = 32
 FOCUS_SIDE = 256
+MIN_REST = 32
+FLAT = 1e-6
 
 
 def image_inventory(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
@@ -28,9 +30,24 @@ def image_inventory(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
     return out
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """origin, height, width, nChannels, mode, data (decoded by Spark)."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+def _all_images(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+
+
+def read_images(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """origin, height, width, nChannels, mode, data (decoded by Spark) of the files that decode.
+
+    The others are listed by ``rejected_images``; with ``strict`` the first of them fails the job.
+    """
+    decoded = F.col("height") > 0
+    if strict:
+        decoded = F.when(decoded, True).otherwise(F.raise_error(F.concat(F.lit("undecodable image "), "origin")).cast("boolean"))
+    return _all_images(spark, path).where(decoded)
+
+
+def rejected_images(spark: SparkSession, path: str) -> DataFrame:
+    """origin of the files under ``path`` that don't decode as an image."""
+    return _all_images(spark, path).where("height <= 0").select("origin")
 
 
 def _planes(row) -> tuple[np.ndarray, np.ndarray]:
@@ -100,33 +117,58 @@ def pixel_signals(images: DataFrame) -> DataFrame:
         run, "origin string, width int, height int, min_side int, aspect double, saturation double, edge_density double, focus double, grey_mean double, grey_std double")
 
 
-def box_pixel_stats(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Separability, edge ratio and in-box deviation per labelled box.
+def _table(p: np.ndarray) -> np.ndarray:
+    """Summed-area table with a leading row and column of zeros."""
+    return np.pad(p.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+
+
+BOX_SUMS = ("in_n", "in_g", "in_gg", "in_edge", "rest_n", "rest_g", "rest_gg", "all_n", "all_edge")
 
-    Boxes reach the pixels as one bounded list per image (labels of a single picture).
+
+def box_sums(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Pixel count and sums of grey, squared grey and gradient: of each box, outside all boxes, and of the image.
+
+    Boxes reach the pixels as one bounded list per image (labels of a single picture). Boxes without a
+    pixel inside the image give no row.
     """
     lists = boxes.groupBy("origin").agg(F.collect_list(F.struct("box_id", "class_id", "x1", "y1", "x2", "y2")).alias("boxes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                grey = _planes(row)[0].astype(float)
-                grad = _sobel(grey)
-                whole = grad.mean() or 1.0
-                cuts = [(b["box_id"], b["class_id"], max(0, min(row.width - 1, round(b["x1"]))), max(0, min(row.height - 1, round(b["y1"]))), max(1, min(row.width, round(b["x2"]))), max(1, min(row.height, round(b["y2"])))) for b in row.boxes]
-                taken = np.zeros(grey.shape, bool)
-                for _, _, x1, y1, x2, y2 in cuts:
-                    taken[y1:y2, x1:x2] = True
-                rest = grey[~taken]
-                for bid, cls, x1, y1, x2, y2 in cuts:
-                    patch = grey[y1:y2, x1:x2]
-                    if patch.size:
-                        sep = abs(patch.mean() - rest.mean()) / rest.std() if rest.size > 32 and rest.std() > 1e-6 else None
-                        out.append((row.origin, bid, cls, sep, grad[y1:y2, x1:x2].mean() / whole, patch.std()))
-            yield pd.DataFrame(out, columns=["origin", "box_id", "class_id", "separability", "edge_ratio", "in_box_std"])
-    cols = images.select("origin", "height", "width", "nChannels", "data").join(lists, "origin")
-    return cols.mapInPandas(run, "origin string, box_id bigint, class_id int, separability double, edge_ratio double, in_box_std double")
+        for image in (r for pdf in batches for r in pdf.itertuples(index=False)):
+            b = pd.DataFrame([x if isinstance(x, dict) else x.asDict() for x in image.boxes])
+            grey = _planes(image)[0].astype(np.int64)
+            edge = _sobel(grey.astype(float))
+            x = b[["x1", "x2"]].round().clip([0, 1], [image.width - 1, image.width]).to_numpy(int).T
+            y = b[["y1", "y2"]].round().clip([0, 1], [image.height - 1, image.height]).to_numpy(int).T
+            some = (x[0] < x[1]) & (y[0] < y[1])
+            b, x, y = b[some], x[:, some], y[:, some]
+            corner = np.zeros((image.height + 1, image.width + 1), int)
+            for i, j, sign in ((0, 0, 1), (1, 1, 1), (0, 1, -1), (1, 0, -1)):
+                np.add.at(corner, (y[i], x[j]), sign)
+            free = corner.cumsum(0).cumsum(1)[:-1, :-1] == 0  # pixels that no box covers
+            sums = {"in_n": (x[1] - x[0]) * (y[1] - y[0])}
+            for name, plane in (("g", grey), ("gg", grey * grey), ("edge", edge)):
+                t = _table(plane)
+                sums[f"in_{name}"] = t[y[1], x[1]] - t[y[0], x[1]] - t[y[1], x[0]] + t[y[0], x[0]]
+            sums |= {"rest_n": free.sum(), "rest_g": grey[free].sum(), "rest_gg": (grey[free] ** 2).sum(), "all_n": grey.size, "all_edge": edge.sum()}
+            yield b[["box_id", "class_id"]].assign(origin=image.origin, **sums)[["origin", "box_id", "class_id", *BOX_SUMS]]
+
+    pixels = images.select("origin", "height", "width", "nChannels", "data").join(lists, "origin")
+    return pixels.mapInPandas(run, "origin string, box_id bigint, class_id int, " + ", ".join(f"{c} double" for c in BOX_SUMS))
+
+
+def _deviation(part: str):
+    n = F.nullif(F.col(f"{part}_n"), F.lit(0.0))
+    mean = F.col(f"{part}_g") / n
+    return F.sqrt(F.greatest(F.col(f"{part}_gg") / n - mean * mean, F.lit(0.0)))
+
+
+def box_pixel_stats(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Separability, edge ratio and in-box deviation per labelled box, as columns over ``box_sums``."""
+    gap = F.abs(F.expr("in_g / in_n - rest_g / nullif(rest_n, 0)"))
+    contrast = F.when((F.col("rest_n") > MIN_REST) & (_deviation("rest") > FLAT), gap / _deviation("rest"))
+    edges = F.expr("(in_edge / in_n) / coalesce(nullif(all_edge / all_n, 0), 1)")
+    return box_sums(images, boxes).select("origin", "box_id", "class_id", contrast.alias("separability"), edges.alias("edge_ratio"), _deviation("in").alias("in_box_std"))
 
 
 def apply_lut_to_pixels(images: DataFrame, luts: DataFrame) -> DataFrame:

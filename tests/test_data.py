@@ -53,6 +53,21 @@ def test_images(spark, pictures):
     boxes = spark.createDataFrame([(origins[0], 1, 0, 5.0, 5.0, 25.0, 20.0)], "origin string, box_id bigint, class_id int, x1 double, y1 double, x2 double, y2 double")
     b = images.box_pixel_stats(img, boxes).first()
     assert b.in_box_std == pytest.approx(grey[5:20, 5:25, 0].std()) and 0.5 < b.edge_ratio < 1.5
+    more = spark.createDataFrame([(origins[0], k, 1, *map(float, c)) for k, c in enumerate([(5, 5, 25, 20), (20, 10, 70, 30), (-9, 2, 8, 9), (30, 8, 30, 9)])], boxes.schema)
+    taken, got = np.zeros((40, 60), bool), {r.box_id: r for r in images.box_pixel_stats(img, more).collect()}
+    cuts = [(5, 5, 25, 20), (20, 10, 60, 30), (0, 2, 8, 9)]
+    for x1, y1, x2, y2 in cuts:
+        taken[y1:y2, x1:x2] = True
+    rest = grey[..., 0][~taken]
+    for k, (x1, y1, x2, y2) in enumerate(cuts):
+        inside = grey[y1:y2, x1:x2, 0]
+        assert got[k].in_box_std == pytest.approx(inside.std()) and got[k].separability == pytest.approx(abs(inside.mean() - rest.mean()) / rest.std())
+    assert sorted(got) == [0, 1, 2]
+    full = spark.createDataFrame([(origins[0], 9, 1, 0.0, 0.0, 60.0, 40.0)], boxes.schema)
+    assert images.box_pixel_stats(img, full).first()[3:] == pytest.approx((None, 1.0, grey[..., 0].std()))
+    assert [r[0].rsplit("/", 1)[1] for r in images.rejected_images(spark, str(d)).collect()] == ["notes.txt"]
+    with pytest.raises(Exception, match="undecodable"):
+        images.read_images(spark, str(d), strict=True).collect()
     inverse = spark.createDataFrame([(origins[0], list(range(255, -1, -1)))], "origin string, lut array<int>")
     out = images.apply_lut_to_pixels(img, inverse).first()
     assert np.frombuffer(out.data, np.uint8).sum() == (255 - grey).sum()

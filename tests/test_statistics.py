@@ -83,6 +83,10 @@ def test_design_effect_and_interval(spark):
     r = st.cluster_rate_interval(lumpy, "c", "h", "s", 200).first()
     assert r["lo"] < r["rate"] < r["hi"] and r["design_effect"] > 5
     p = st.profile_bootstrap(lumpy, "h", "s", 400).toPandas()["rate"]
+    wide = spark.createDataFrame([(i, i % 400, 400 + i % 700) for i in range(3000)], "c bigint, h int, s int")
+    one, many = (st.profile_bootstrap(wide.repartition(k), "h", "s", 50).orderBy("b").collect() for k in (1, 7))
+    assert one == many and len({x.rate for x in one}) > 40
+    assert {x.rate for x in st.profile_bootstrap(wide.limit(0), "h", "s", 5).collect()} == {0.0}
     assert abs(p.mean() - r["rate"]) < 0.02 and abs((p.quantile(0.975) - p.quantile(0.025)) - (r["hi"] - r["lo"])) < 0.05
 
 
