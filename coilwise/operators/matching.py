@@ -133,7 +133,7 @@ def _fold_claims(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def claim_rounds(pairs: DataFrame, group: Sequence[str], checkpoint_every: int = 1) -> DataFrame:
+def claim_rounds(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     """The same claims for groups of any size, in rounds.
 
     A pair is final when the box is the detection's best free box and no stronger detection wants

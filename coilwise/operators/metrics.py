@@ -240,7 +240,7 @@ def top_landed(landed: DataFrame, k: int = 3, keys: Sequence[str] = ("class_id",
     return landed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def best_overlap(missed: DataFrame, dets: DataFrame, small_group: int = SMALL_GROUP, grid_always: bool = False) -> DataFrame:
+def best_overlap(missed: DataFrame, dets: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """Best-overlapping detection of any class for each unmatched label (IoU desc, then det_id).
 
     Only overlapping pairs can beat "nothing overlaps", so crowded frames use the grid join.

@@ -20,12 +20,11 @@ BOXES = "class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def score_batches(items: DataFrame, scorer: Scorer, id_cols: Sequence[str], size_cols: Sequence[str] = ("tile_w", "tile_h"), chunk: int = 8, spread: int = 64) -> DataFrame:
+def score_batches(items: DataFrame, scorer: Scorer, id_cols: Sequence[str], size_cols: Sequence[str] = ("tile_w", "tile_h"), chunk: int = 8) -> DataFrame:
     """Run a user model over items of equal size, in chunks, with the mean time per item.
 
-    Items are shuffled by size and a spread of their id: equal sizes meet in a task, and one very
-    common size still fills many tasks. Inside a task items are grouped by size again, so an answer
-    never depends on neighbours of another size.
+    Items are scored where they are, without a shuffle. Each Arrow batch is grouped by size, so an
+    answer never depends on neighbours of another size.
     """
     ids, sizes = list(id_cols), list(size_cols)
     fields = ", ".join(f"{c} {dict(items.dtypes)[c]}" for c in ids)
@@ -45,8 +44,7 @@ def score_batches(items: DataFrame, scorer: Scorer, id_cols: Sequence[str], size
             if found:  # one Arrow batch out per batch in
                 yield pd.concat(found, ignore_index=True)
 
-    spread_key = F.pmod(F.xxhash64(*ids), F.lit(spread))
-    return items.repartition(*[F.col(c) for c in sizes], spread_key).mapInPandas(run, f"{fields}, {BOXES}, ms_per_item double")
+    return items.mapInPandas(run, f"{fields}, {BOXES}, ms_per_item double")
 
 
 def tiled_inspection(frames: DataFrame, scorer: Scorer, tile: int = 256, overlap: float = 0.2, max_iou: float = 0.45, mode: str = "auto") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import dbl
 from ..functions.hashing import order_key, unit_hash
 from ..session import checkpointed
-from .scale import running
+from .scale import ordered_positions, running
 
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}  # fixed values
 
@@ -80,7 +80,7 @@ def _deal(pending: DataFrame, group: str, amount: str, need: dict[str, float], s
     whole = sum(need.values())
     share = {s: (v / whole if whole > 0 else (1.0 if i == 0 else 0.0)) for i, (s, v) in enumerate(need.items())}
     src = pending.withColumns({"__k": F.lit(0), "__u": unit_hash(seed, group)})
-    run = running(src, ["__k"], [amount, "__u", group], {"__c": (amount, "sum")}, descending=True)
+    run = ordered_positions(src, ["__k"], amount, ["__u", group], {"__c": amount})  # equal amounts are cut again by their draw
     top = pending.agg(F.max(amount).alias("__top"))
     run = run.join(F.broadcast(top))  # one row
     # equal blocks of at least ten of the largest groups, so no partial block is left over
@@ -112,11 +112,11 @@ def rarest_first_order(frame_classes: DataFrame, seed: str, id_col: str = "frame
     sizes, so no global sort is needed.
     """
     freq = frame_classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("freq"))
-    tagged = frame_classes.join(F.broadcast(freq), "class_id")  # one row per class
+    tagged = frame_classes.join(freq, "class_id")
     primary = tagged.groupBy(id_col).agg(F.min_by("class_id", F.struct("freq", "class_id")).alias("primary"))
     ranked = hash_rank(primary, ["primary"], seed, id_col, "turn")
     sizes = ranked.groupBy("primary").agg(F.max("turn").alias("size"))
-    ordered = sizes.join(F.broadcast(freq.withColumnRenamed("class_id", "primary")), "primary")
+    ordered = sizes.join(freq.withColumnRenamed("class_id", "primary"), "primary")
     items = ordered.agg(F.array_sort(F.collect_list(F.struct("freq", "primary", "size"))).alias("__s"))  # one entry per class
     out = ranked.join(F.broadcast(items))  # one row
     before = F.aggregate("__s", F.lit(0).cast("bigint"), lambda acc, s: acc + F.least(s["size"], F.col("turn") - 1))

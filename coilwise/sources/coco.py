@@ -31,7 +31,7 @@ def coco_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     ids = F.array(*[F.lit(n) for n in names])
     cat = categories.select(*on, F.col("id").alias("category_id"), (F.array_position(ids, F.col("name")) - 1).cast("int").alias("class_id")).where("class_id >= 0")
     img = images.select(*on, F.col("id").alias("image_id"), "width", "height")
-    ann = annotations.withColumnRenamed("id", "annotation_id").join(F.broadcast(cat), [*on, "category_id"])  # one row per category
+    ann = annotations.withColumnRenamed("id", "annotation_id").join(cat, [*on, "category_id"])
     x, y, w, h = (F.get("bbox", F.lit(i)) for i in range(4))
     j = img.join(ann, [*on, "image_id"], "left")
     clipped = (x < 0) | (y < 0) | (x + w > F.col("width")) | (y + h > F.col("height"))
