@@ -2,18 +2,22 @@
 
 Texts become aligned lists of raw and canonical tokens: a number becomes ``0``, a name (a capitalised
 word behind a lower-case one) NAME, a unit behind a number UNIT, other words lower-case. Windows of
-WINDOW canonical tokens are hash-joined between documents and benchmark items and compared in full. The
-matched windows of one document and item that lie on one diagonal are a candidate; it counts if it
-covers NEEDED tokens (or all of a shorter item) and its slots are consistent: each value in the item
-stands for one value in the document.
+WINDOW tokens are hash-joined between documents and benchmark items and compared in full, in two forms:
+literal ones of lower-case raw tokens, and canonical ones (templates) where at least LITERALS tokens are
+no slots. The matched windows of one document and item that lie on one diagonal are a candidate; it
+counts if it covers NEEDED tokens (or all of a shorter item; of templates alone, all that the item has)
+and its slots are consistent: each value in the item stands for one value in the document.
 
 Documents are read once; windows are made and joined where the text lies. Benchmark windows are broadcast
 up to BROADCAST of them, which is checked; beyond that the join shuffles.
 
-Defined cases: null or empty texts and items match nothing; items of fewer than WINDOW tokens match
-documents that have just their tokens; windows with more than WINDOW - LITERALS slots are not looked for;
-rows that share a doc_id (null too) are one document; repeated items are reported once each item_id;
-empty tables give an empty result; further columns pass through ``decontaminated`` untouched.
+Defined cases: null or empty texts and items match nothing; items of LITERALS to WINDOW - 1 tokens are
+looked for by a window of their own length, everywhere in a document, and as templates only if LITERALS
+tokens are no slots; items of fewer than LITERALS tokens, and short ones with more slots under other
+values, match documents that have just their tokens; longer windows with more than WINDOW - LITERALS
+slots are found with the values of the item only; rows that share a doc_id (null too) are one document;
+repeated items are reported once each item_id; empty tables give an empty result; further columns pass
+through ``decontaminated`` untouched.
 """
 
 from __future__ import annotations
@@ -45,18 +49,31 @@ def canonical(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(TOKEN), F.lit(0))
 
 
-def raw_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def literal(text: Column) -> Column:
+    """The tokens as they stand, in lower case; as many as ``canonical`` gives."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def is_slot(token: Column) -> Column:
     return token.isin("0", NAME, UNIT)
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """One row per window of rows with ``tokens``: its place and hash."""
-    at = rows.where(F.size("tokens") >= WINDOW).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - WINDOW)))
-    return at.withColumn("hash", F.xxhash64(*[F.get("tokens", F.col("at") + j) for j in range(WINDOW)]))
+def _forms(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, literal(F.col("text")).alias("raw"), canonical(F.col("text")).alias("tokens")).where(F.size("raw") > 0)
+
+
+def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """One row per window of each length ``len``, from its place ``at``."""
+    rows = rows.withColumn("len", F.explode(F.array(*map(F.lit, lengths))) if len(lengths) > 1 else F.lit(lengths[0]))
+    return rows.where(F.size("raw") >= F.col("len")).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("len"))))
+
+
+def _hash(form: str) -> Column:
+    return F.xxhash64(*[F.when(F.lit(j) < F.col("len"), F.get(form, F.col("at") + j)) for j in range(WINDOW)])
+
+
+def _text(form: str) -> Column:
+    return F.array_join(F.slice(form, F.col("at") + 1, F.col("len")), " ")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -64,16 +81,56 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Windows of the items of WINDOW tokens and more, and the shorter items in whole."""
-    t = items.select("item_id", canonical(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw")).where(F.size("tokens") > 0)
-    window = F.slice("tokens", F.col("at") + 1, WINDOW)
-    places = F.filter(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: is_slot(F.get("tokens", F.col("at") + j)))
+    """Windows of the items, as literal ones and as templates, and the items of under WINDOW tokens in whole.
+
+    Items of LITERALS to WINDOW - 1 tokens have one window, of their own length.
+    """
+    t = _forms(items, "item_id")
+    w = _windows(t.where(F.size("raw") >= LITERALS).withColumn("own", F.least(F.size("raw"), F.lit(WINDOW))), list(range(LITERALS, WINDOW + 1))).where("len = own")
+    places = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda j: is_slot(F.get("tokens", F.col("at") + j)))
     slots = F.transform(places, lambda j: F.struct(j.alias("j"), F.get("tokens", F.col("at") + j).alias("type"), F.get("raw", F.col("at") + j).alias("value")))
-    long = _windows(t).select("item_id", "at", "hash", F.array_join(window, " ").alias("window"), slots.alias("slots"), F.size("tokens").alias("n"))
-    long = long.where(F.size("slots") <= WINDOW - LITERALS)
-    kept = long.groupBy("item_id").agg(F.count(F.lit(1)).alias("kept"))
-    short = t.where(F.size("tokens") < WINDOW).select("item_id", F.array_join("tokens", " ").alias("window"), "tokens", "raw")
-    return long.join(kept, "item_id"), short
+    w = w.select("*", slots.alias("slots")).withColumn("open", F.size("slots") <= F.col("len") - LITERALS)
+    kinds = [
+        F.struct(_hash("raw").alias("hash"), _text("raw").alias("window"), (F.size("slots") == 0).alias("template")),
+        F.when(F.col("open") & (F.size("slots") > 0), F.struct(_hash("tokens").alias("hash"), _text("tokens").alias("window"), F.lit(True).alias("template"))),
+    ]
+    kept = w.groupBy("item_id").agg(F.size(F.collect_set("at")).alias("all"), F.size(F.collect_set(F.when(F.col("open"), F.col("at")))).alias("templates"))
+    each = w.select("item_id", "at", "len", "slots", F.inline(F.filter(F.array(*kinds), lambda k: k.isNotNull())))
+    short = t.where(F.size("raw") < WINDOW).select("item_id", F.array_join("tokens", " ").alias("window"), "tokens", "raw")
+    return each.join(kept, "item_id"), short
+
+
+def _found(docs: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """(keys, item_id, windows, slots, changed) of the documents told apart by ``keys``."""
+    each, short = benchmark_windows(items)
+    each, _ = stored(each, "windows")
+    lengths = sorted(r[0] for r in each.select("len").distinct().collect()) or [WINDOW]
+    d = _forms(docs, *keys)
+    b = _small(each.withColumnRenamed("at", "item_at").withColumnRenamed("len", "item_len"))
+    probes = F.explode(F.array(F.col("h0"), F.when(F.col("h1") != F.col("h0"), F.col("h1"))))
+    probed = _windows(d, lengths).withColumns({"h0": _hash("raw"), "h1": _hash("tokens")}).withColumn("hash", probes).where("hash IS NOT NULL")
+    hit = probed.join(b, "hash").where((F.col("len") == F.col("item_len")) & ((_text("raw") == F.col("window")) | (_text("tokens") == F.col("window"))))
+    pairs = F.transform("slots", lambda s: F.struct(s["type"].alias("type"), s["value"].alias("item"), F.get("raw", F.col("at") + s["j"]).alias("doc")))
+    found = hit.select(*keys, "item_id", "len", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "all", "templates", "template", pairs.alias("pairs"))
+    union = lambda when: F.array_distinct(F.flatten(F.collect_set(F.when(when, F.col("pairs")))))
+    places = lambda when: F.size(F.collect_set(F.when(when, F.col("at"))))
+    runs = found.groupBy(*keys, "item_id", "len", "diagonal").agg(
+        F.max("all").alias("all"), F.max("templates").alias("templates"), places(F.lit(True)).cast("bigint").alias("windows"), places(F.col("template")).alias("open"),
+        union(F.col("template")).alias("pairs"), union(F.lit(True)).alias("shown"))
+    most = F.lit(NEEDED - WINDOW + 1)
+    runs = runs.where((F.col("windows") >= F.least(most, "all")) | ((F.col("open") > 0) & (F.col("open") >= F.least(most, "templates"))))
+
+    whole = d.where(F.size("raw") < WINDOW).select(*keys, F.array_join("tokens", " ").alias("window"), F.col("raw").alias("doc_raw"))
+    zipped = F.zip_with(F.arrays_zip("tokens", "raw"), "doc_raw", lambda i, r: F.struct(i["tokens"].alias("type"), i["raw"].alias("item"), r.alias("doc")))
+    # what has a window of its own is found above
+    few = (F.size("raw") < LITERALS) | ((F.size(F.filter("tokens", is_slot)) > F.size("raw") - LITERALS) & (F.col("raw") != F.col("doc_raw")))
+    same = whole.join(_small(short), "window").where(few).select(*keys, "item_id", F.lit(1).cast("bigint").alias("windows"), F.array_distinct(F.filter(zipped, lambda p: is_slot(p["type"]))).alias("pairs"))
+    runs = runs.select(*keys, "item_id", "windows", "pairs", "shown").unionByName(same.withColumn("shown", F.col("pairs")))
+    of_item = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p["item"])))
+    runs = runs.where(F.size(of_item) == F.size("pairs"))
+    changed = F.size(F.filter("shown", lambda p: p["item"] != p["doc"])).cast("bigint")
+    return runs.groupBy(*keys, "item_id").agg(
+        F.sum("windows").alias("windows"), F.max(F.size("shown")).cast("bigint").alias("slots"), F.min(changed).alias("changed"))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -81,26 +138,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``changed`` counts slots whose value differs between item and document.
     """
-    long, _ = stored(benchmark_windows(items)[0], "windows")
-    short = benchmark_windows(items)[1]
-    d = docs.select("doc_id", canonical(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw"))
-    b = _small(long.withColumnRenamed("at", "item_at"))
-    hit = _windows(d).join(b, "hash").where(F.array_join(F.slice("tokens", F.col("at") + 1, WINDOW), " ") == F.col("window"))
-    pairs = F.transform("slots", lambda s: F.struct(s["type"].alias("type"), s["value"].alias("item"), F.get("raw", F.col("at") + s["j"]).alias("doc")))
-    found = hit.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "kept", pairs.alias("pairs"))
-    runs = found.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.count(F.lit(1)).alias("windows"), F.max("kept").alias("kept"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    runs = runs.where(F.col("windows") >= F.least(F.lit(NEEDED - WINDOW + 1), F.col("kept")))
-
-    whole = d.where((F.size("tokens") < WINDOW) & (F.size("tokens") > 0)).select("doc_id", F.array_join("tokens", " ").alias("window"), F.col("raw").alias("doc_raw"))
-    zipped = F.zip_with(F.arrays_zip("tokens", "raw"), "doc_raw", lambda i, r: F.struct(i["tokens"].alias("type"), i["raw"].alias("item"), r.alias("doc")))
-    same = whole.join(_small(short), "window").select("doc_id", "item_id", F.lit(1).cast("bigint").alias("windows"), F.filter(zipped, lambda p: is_slot(p["type"])).alias("pairs"))
-    runs = runs.select("doc_id", "item_id", "windows", "pairs").unionByName(same.withColumn("pairs", F.array_distinct("pairs")))
-    of_item = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p["item"])))
-    runs = runs.where(F.size(of_item) == F.size("pairs"))
-    changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).cast("bigint")
-    return runs.groupBy("doc_id", "item_id").agg(
-        F.sum("windows").alias("windows"), F.max(F.size("pairs")).cast("bigint").alias("slots"), F.min(changed).alias("changed"))
+    return _found(docs, items, "doc_id")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

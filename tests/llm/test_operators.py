@@ -90,6 +90,17 @@ def test_templates_want_consistent_slots(spark):
     assert 2 not in {r.doc_id for r in got}
 
 
+def test_templates_find_dense_and_short_items(spark):
+    dense, other = "Compute 12 km + 7 km - 3 km, 4 km + 9 km - 8 km, 15 km + 2 km - 1 km.", "Sort 12, 7, 3, 44, 15, 2, 9, 31, 8, 6, 27, 5 and 19."
+    items = spark.createDataFrame([(1, dense), (2, other), (3, "which city lies on the river"), (4, "he paid 12 dollars for the old book")], "item_id bigint, text string")
+    d = spark.createDataFrame([
+        (1, "now " + dense), (2, other), (3, other.replace("44", "45").replace("31", "32").replace("7", "70")), (4, "he asked: Which city lies on the river? and went"), (5, "which city lies on a river"),
+        (6, "so he paid 15 euros for the old book there"), (7, "so he paid 15 euros for the old boat there"),
+    ], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.changed for r in templates.leaks(d, items).collect()}
+    assert got == {(1, 1): 0, (2, 2): 0, (4, 3): 0, (6, 4): 2}
+
+
 @pytest.mark.parametrize("shard", [1 << 9, 8 << 20])
 def test_repeats(docs, none, shard):
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in repeats.removals(docs, shard).collect())
