@@ -1,12 +1,15 @@
 """Benchmark decontamination by templates: questions are caught with other numbers, names or units too.
 
-Texts become aligned lists of raw and canonical tokens: a number becomes ``0``, a name (a capitalised
-word behind a lower-case one) NAME, a unit behind a number UNIT, other words lower-case. Windows of
-WINDOW tokens are hash-joined between documents and benchmark items and compared in full, in two forms:
-literal ones of lower-case raw tokens, and canonical ones (templates) where at least LITERALS tokens are
-no slots. The matched windows of one document and item that lie on one diagonal are a candidate; it
-counts if it covers NEEDED tokens (or all of a shorter item; of templates alone, all that the item has)
-and its slots are consistent: each value in the item stands for one value in the document.
+Texts become aligned lists of tokens: raw ones in lower case; canonical ones, where a number becomes
+``0``, a unit behind a number UNIT (in any case), a capitalised word behind a lower-case one NAME; and
+capitals, where every capitalised word is NAME. All white space counts as one blank. Windows of WINDOW
+tokens are hash-joined between documents and benchmark items and compared in full, in all three forms:
+literal ones of raw tokens; templates, canonical, where at least LITERALS tokens are no slots; and
+templates of capitals, where a capitalised word after a sentence end is a slot if the item has it as NAME
+elsewhere or no item has it in lower case, and must be the same word otherwise. The matched windows of
+one document and item that lie on one diagonal are a candidate; it counts if it covers NEEDED tokens (or
+all of a shorter item; of templates alone, all that the item has) and its slots are consistent: each
+value in the item stands for one value in the document. Capitals are left out where the rest suffices.
 
 Documents are read once; windows are made and joined where the text lies. Benchmark windows are broadcast
 up to BROADCAST of them, which is checked; beyond that the join shuffles.
@@ -41,17 +44,33 @@ UNITS = (
 )
 
 
+def _even(text: Column) -> Column:
+    """The text with one blank for all white space between words."""
+    return F.regexp_replace(text, r"[\s\p{Z}]{2,}|[\t-\r\x85\p{Z}&&[^ ]]", " ")
+
+
+def _typed(text: Column) -> Column:
+    t = F.regexp_replace(text, r"\d+(?:[.,]\d+)*", "0")
+    return F.regexp_replace(t, r"(?<=0 ?)(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])", UNIT)
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def canonical(text: Column) -> Column:
     """The text with typed placeholders, token by token in the place of the raw ones."""
-    t = F.regexp_replace(text, r"\d+(?:[.,]\d+)*", "0")
-    t = F.regexp_replace(t, r"(?<=\p{Ll},? )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME)
-    t = F.regexp_replace(t, r"(?<=0 ?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])", UNIT)
-    return F.regexp_extract_all(F.lower(t), F.lit(TOKEN), F.lit(0))
+    return _tokens(F.regexp_replace(_typed(_even(text)), r"(?<=[\p{Ll}" + UNIT + r"],? )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME))
+
+
+def capitals(text: Column) -> Column:
+    """As ``canonical``, with every capitalised word a NAME, after a sentence end too."""
+    return _tokens(F.regexp_replace(_typed(text), r"(?<![\p{L}\p{M}])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME))
 
 
 def literal(text: Column) -> Column:
     """The tokens as they stand, in lower case; as many as ``canonical`` gives."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return _tokens(text)
 
 
 def is_slot(token: Column) -> Column:
@@ -59,7 +78,7 @@ def is_slot(token: Column) -> Column:
 
 
 def _forms(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, literal(F.col("text")).alias("raw"), canonical(F.col("text")).alias("tokens")).where(F.size("raw") > 0)
+    return df.select(*keys, literal(F.col("text")).alias("raw"), canonical(F.col("text")).alias("tokens"), capitals(F.col("text")).alias("caps")).where(F.size("raw") > 0)
 
 
 def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
@@ -76,6 +95,13 @@ def _text(form: str) -> Column:
     return F.array_join(F.slice(form, F.col("at") + 1, F.col("len")), " ")
 
 
+def _proper(items: DataFrame) -> DataFrame:
+    """(item_id, proper): words of each item that no item has in lower case."""
+    words = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("cased")).withColumn("word", F.lower("cased"))
+    common = words.where("cased = word").select("word").distinct()
+    return words.join(common, "word", "left_anti").groupBy("item_id").agg(F.collect_set("word").alias("proper"))
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
@@ -85,17 +111,24 @@ def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Items of LITERALS to WINDOW - 1 tokens have one window, of their own length.
     """
-    t = _forms(items, "item_id")
+    t = _forms(items, "item_id").join(_proper(items), "item_id", "left")
+    mid = F.transform(F.filter(F.arrays_zip("raw", "tokens"), lambda x: x["tokens"] == NAME), lambda x: x["raw"])
+    t = t.withColumn("known", F.array_union(F.coalesce("proper", F.array().cast("array<string>")), mid)).drop("proper")
     w = _windows(t.where(F.size("raw") >= LITERALS).withColumn("own", F.least(F.size("raw"), F.lit(WINDOW))), list(range(LITERALS, WINDOW + 1))).where("len = own")
     places = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda j: is_slot(F.get("tokens", F.col("at") + j)))
     slots = F.transform(places, lambda j: F.struct(j.alias("j"), F.get("tokens", F.col("at") + j).alias("type"), F.get("raw", F.col("at") + j).alias("value")))
-    w = w.select("*", slots.alias("slots")).withColumn("open", F.size("slots") <= F.col("len") - LITERALS)
+    named = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda j: is_slot(F.get("caps", F.col("at") + j)))
+    named = F.transform(named, lambda j: F.struct(j.alias("j"), F.get("caps", F.col("at") + j).alias("type"), F.get("raw", F.col("at") + j).alias("value")))
+    free = lambda s: is_slot(F.get("tokens", F.col("at") + s["j"])) | F.array_contains("known", s["value"])
+    w = w.select("*", slots.alias("slots"), F.filter(named, free).alias("named"), F.filter(named, lambda s: ~free(s)).alias("fixed")).withColumn("open", F.size("slots") <= F.col("len") - LITERALS)
+    none = F.filter("slots", lambda s: F.lit(False))
     kinds = [
-        F.struct(_hash("raw").alias("hash"), _text("raw").alias("window"), (F.size("slots") == 0).alias("template")),
-        F.when(F.col("open") & (F.size("slots") > 0), F.struct(_hash("tokens").alias("hash"), _text("tokens").alias("window"), F.lit(True).alias("template"))),
+        F.struct(_hash("raw").alias("hash"), _text("raw").alias("window"), (F.size("slots") == 0).alias("template"), F.lit(False).alias("start"), "slots", none.alias("fixed")),
+        F.when(F.col("open") & (F.size("slots") > 0), F.struct(_hash("tokens").alias("hash"), _text("tokens").alias("window"), F.lit(True).alias("template"), F.lit(False).alias("start"), "slots", none.alias("fixed"))),
+        F.when((F.size("named") <= F.col("len") - LITERALS) & (_text("caps") != _text("tokens")), F.struct(_hash("caps").alias("hash"), _text("caps").alias("window"), F.lit(True).alias("template"), F.lit(True).alias("start"), F.col("named").alias("slots"), "fixed")),
     ]
     kept = w.groupBy("item_id").agg(F.size(F.collect_set("at")).alias("all"), F.size(F.collect_set(F.when(F.col("open"), F.col("at")))).alias("templates"))
-    each = w.select("item_id", "at", "len", "slots", F.inline(F.filter(F.array(*kinds), lambda k: k.isNotNull())))
+    each = w.select("item_id", "at", "len", F.inline(F.filter(F.array(*kinds), lambda k: k.isNotNull())))
     short = t.where(F.size("raw") < WINDOW).select("item_id", F.array_join("tokens", " ").alias("window"), "tokens", "raw")
     return each.join(kept, "item_id"), short
 
@@ -107,18 +140,30 @@ def _found(docs: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
     lengths = sorted(r[0] for r in each.select("len").distinct().collect()) or [WINDOW]
     d = _forms(docs, *keys)
     b = _small(each.withColumnRenamed("at", "item_at").withColumnRenamed("len", "item_len"))
-    probes = F.explode(F.array(F.col("h0"), F.when(F.col("h1") != F.col("h0"), F.col("h1"))))
-    probed = _windows(d, lengths).withColumns({"h0": _hash("raw"), "h1": _hash("tokens")}).withColumn("hash", probes).where("hash IS NOT NULL")
-    hit = probed.join(b, "hash").where((F.col("len") == F.col("item_len")) & ((_text("raw") == F.col("window")) | (_text("tokens") == F.col("window"))))
+    h = [F.col(f"h{i}") for i in range(3)]
+    probes = F.explode(F.array(h[0], F.when(h[1] != h[0], h[1]), F.when(h[2] != h[1], h[2])))
+    probed = _windows(d, lengths).withColumns({"h0": _hash("raw"), "h1": _hash("tokens"), "h2": _hash("caps")}).withColumn("hash", probes).where("hash IS NOT NULL")
+    hit = probed.join(b, "hash").where(F.col("len") == F.col("item_len"))
+    plain = (_text("raw") == F.col("window")) | (_text("tokens") == F.col("window"))
+    hit = hit.where((plain | (_text("caps") == F.col("window"))) & F.forall("fixed", lambda s: s["value"] == F.get("raw", F.col("at") + s["j"])))
+    hit = hit.withColumn("start", F.col("start") | ~plain)
     pairs = F.transform("slots", lambda s: F.struct(s["type"].alias("type"), s["value"].alias("item"), F.get("raw", F.col("at") + s["j"]).alias("doc")))
-    found = hit.select(*keys, "item_id", "len", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "all", "templates", "template", pairs.alias("pairs"))
+    found = hit.select(*keys, "item_id", "len", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "all", "templates", "template", "start", pairs.alias("pairs"))
     union = lambda when: F.array_distinct(F.flatten(F.collect_set(F.when(when, F.col("pairs")))))
     places = lambda when: F.size(F.collect_set(F.when(when, F.col("at"))))
+    plain = ~F.col("start")
     runs = found.groupBy(*keys, "item_id", "len", "diagonal").agg(
-        F.max("all").alias("all"), F.max("templates").alias("templates"), places(F.lit(True)).cast("bigint").alias("windows"), places(F.col("template")).alias("open"),
-        union(F.col("template")).alias("pairs"), union(F.lit(True)).alias("shown"))
+        F.max("all").alias("all"), F.max("templates").alias("templates"),
+        # a name after a sentence end counts if the others alone don't do: it may be a word as well
+        *[F.struct(places(w).cast("bigint").alias("windows"), places(w & F.col("template")).alias("open"), union(w & F.col("template")).alias("pairs"), union(w).alias("shown")).alias(name)
+          for name, w in (("plain", plain), ("starts", F.lit(True)))])
     most = F.lit(NEEDED - WINDOW + 1)
-    runs = runs.where((F.col("windows") >= F.least(most, "all")) | ((F.col("open") > 0) & (F.col("open") >= F.least(most, "templates"))))
+
+    def counts(r: str) -> Column:
+        enough = (F.col(f"{r}.windows") >= F.least(most, "all")) | ((F.col(f"{r}.open") > 0) & (F.col(f"{r}.open") >= F.least(most, "templates")))
+        return enough & (F.size(F.array_distinct(F.transform(f"{r}.pairs", lambda p: F.struct(p["type"], p["item"])))) == F.size(f"{r}.pairs"))
+
+    runs = runs.select(*keys, "item_id", F.when(counts("plain"), F.col("plain")).when(counts("starts"), F.col("starts")).alias("run")).where("run IS NOT NULL").select(*keys, "item_id", "run.*")
 
     whole = d.where(F.size("raw") < WINDOW).select(*keys, F.array_join("tokens", " ").alias("window"), F.col("raw").alias("doc_raw"))
     zipped = F.zip_with(F.arrays_zip("tokens", "raw"), "doc_raw", lambda i, r: F.struct(i["tokens"].alias("type"), i["raw"].alias("item"), r.alias("doc")))

@@ -101,6 +101,19 @@ def test_templates_find_dense_and_short_items(spark):
     assert got == {(1, 1): 0, (2, 2): 0, (4, 3): 0, (6, 4): 2}
 
 
+def test_templates_in_any_case_and_after_sentence_ends(spark):
+    names = "when Anna met Paul at the gate with Mary and Tom who saw Peter behind Lucy and the dog of Frank they all went home"
+    units = "the road is 12 km long and then 5 km wide while it is 7 km deep at the end of it"
+    starts = "Anna bought 12 apples at the market today. Tom gave her 5 more after lunch. Anna ate 3 of them before the evening came."
+    items = spark.createDataFrame([(1, names), (2, units), (3, starts)], "item_id bigint, text string")
+    d = spark.createDataFrame([
+        (1, names.lower()), (2, names.replace(" ", "\n")), (3, units.replace("km", "KM")), (4, "So it was. " + starts.replace("Anna", "Lucy").replace("Tom", "Frank").replace("12", "9")),
+        (5, units.replace(" ", " \u00a0")),
+    ], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.changed for r in templates.leaks(d, items).collect()}
+    assert got == {(1, 1): 0, (2, 1): 0, (3, 2): 0, (4, 3): 3, (5, 2): 0}
+
+
 @pytest.mark.parametrize("shard", [1 << 9, 8 << 20])
 def test_repeats(docs, none, shard):
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in repeats.removals(docs, shard).collect())
