@@ -286,6 +286,14 @@ def test_ngram_join(spark, docs, none, monkeypatch, limit):
     assert ngram_join.component_table(docs).count() == len(ROWS) and ngram_join.component_table(none).count() == 0
 
 
+def test_pipeline_links_five_words_at_80_percent(spark):
+    text = [f"w{i}" for i in range(200)]
+    d = spark.createDataFrame([row(1, " ".join(text)), row(2, " ".join(text[:-36])), row(3, " ".join(text[:-45]))], DOCS)
+    assert [r.component_id for r in ngram_join.component_table(d.where("doc_id < 3")).sort("doc_id").collect()] == [1, 2]
+    assert [r.doc_id for r in corpus_pipeline.one_per_group(spark, d.where("doc_id <> 3"), "").collect()] == [1]
+    assert sorted(r.doc_id for r in corpus_pipeline.one_per_group(spark, d.where("doc_id <> 2"), "").collect()) == [1, 3]
+
+
 def test_archives(spark):
     pages = spark.createDataFrame([(3, "http://a/ b", "<p>ä</p>"), (1, None, "<p>ä</p>"), (2, "u", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nx\r\n\r\n"), (5, "u", "WARC/1.1\r\n\r\nx\r\n\r\n"), (None, "u", "last")], "page_id bigint, url string, html string")
     folder = archives.new_folder(spark, "warc")
