@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import llm_query
-from .shared import drop, slices, stored
+from .shared import drop, row_key, slices, stored
 from .words import LOWER, mix, spans, text_bytes, window_hashes, word_hashes
 
 WORDS = 4
@@ -282,8 +282,17 @@ def component_table(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """The rows of ``docs`` that are the smallest of their component, one row per doc_id."""
+def one_of_each(docs: DataFrame, words: int = WORDS, share: int = SHARE, by_row: bool = False) -> DataFrame:
+    """The rows of ``docs`` that are the smallest of their component, one row per doc_id.
+
+    With ``by_row``, rows with different texts are different whatever their doc_id: the smallest row of each
+    component stays, by doc_id (null last) and digest of the text, so no text goes with another's doc_id.
+    """
+    if by_row:
+        rows = docs.withColumn("__row", row_key())
+        table = component_table(rows.select(F.col("__row").alias("doc_id"), "text"), words, share)
+        kept = table.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+        return rows.join(kept, rows["__row"].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["__row"]).drop("__row")
     kept = component_table(docs, words, share).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"])
 

@@ -8,7 +8,8 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -50,6 +51,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def row_key() -> Column:
+    """Identity of a row of documents: doc_id, null last in order, and a digest of its text."""
+    digest = F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(bytearray()))
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece holds about ``most`` bytes of text, or one long row."""
     for b in batches:

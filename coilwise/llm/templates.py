@@ -18,7 +18,8 @@ Defined cases: null or empty texts and items match nothing; items of LITERALS to
 looked for by a window of their own length, everywhere in a document, and as templates only if LITERALS
 tokens are no slots; items of fewer than LITERALS tokens, and short ones with more slots under other
 values, match documents that have just their tokens; longer windows with more than WINDOW - LITERALS
-slots are found with the values of the item only; rows that share a doc_id (null too) are one document;
+slots are found with the values of the item only; rows that share a doc_id (null too) are one document
+in ``leaks``, but ``decontaminated`` drops only those whose own text matches;
 repeated items are reported once each item_id; empty tables give an empty result; further columns pass
 through ``decontaminated`` untouched.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import llm_query
-from .shared import stored
+from .shared import row_key, stored
 
 WINDOW = 8
 NEEDED = 13
@@ -187,9 +188,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__leak"]), "left_anti")
+    """The rows of ``docs`` whose own text holds no benchmark item, whatever other rows of their doc_id hold."""
+    rows = docs.withColumn("__row", row_key())
+    bad = _found(rows.select("__row", "text"), items, "__row").select(F.col("__row").alias("__leak")).distinct()
+    return rows.join(bad, rows["__row"].eqNullSafe(bad["__leak"]), "left_anti").drop("__row")
 
 
 @llm_query("op2_template_decontamination")

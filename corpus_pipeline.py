@@ -22,8 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest doc_id."""
-    return ngram_join.one_of_each(docs, STAGE_WORDS, STAGE_SHARE)
+    """One document of each group of near copies: the one of smallest doc_id and digest of the text."""
+    return ngram_join.one_of_each(docs, STAGE_WORDS, STAGE_SHARE, by_row=True)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

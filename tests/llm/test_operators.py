@@ -294,6 +294,17 @@ def test_pipeline_links_five_words_at_80_percent(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.one_per_group(spark, d.where("doc_id <> 2"), "").collect()) == [1, 3]
 
 
+def test_pipeline_tells_rows_of_one_id_apart(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    d = spark.createDataFrame([row(None, text["a"]), row(None, text["b"]), row(None, text["b"]), row(1, text["c"]), row(2, text["c"] + " tail"), row(2, text["d"]), row(3, text["e"]), row(4, None), row(None, text["e"] + " tail")], DOCS).repartition(3)
+    one = [(r.doc_id, r.text) for r in corpus_pipeline.one_per_group(spark, d, "").collect()]
+    want = [(None, text["a"]), (None, text["b"]), (1, text["c"]), (2, text["d"]), (3, text["e"]), (4, None)]
+    assert sorted(one, key=str) == sorted(want, key=str)
+    items = spark.createDataFrame([(1, text["a"]), (2, text["d"])], "item_id bigint, text string")
+    clean = [(r.doc_id, r.text) for r in templates.decontaminated(d, items).collect()]
+    assert len(clean) == 7 and (None, text["b"]) in clean and (2, text["c"] + " tail") in clean and (None, text["a"]) not in clean and (2, text["d"]) not in clean
+
+
 def test_archives(spark):
     pages = spark.createDataFrame([(3, "http://a/ b", "<p>ä</p>"), (1, None, "<p>ä</p>"), (2, "u", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nx\r\n\r\n"), (5, "u", "WARC/1.1\r\n\r\nx\r\n\r\n"), (None, "u", "last")], "page_id bigint, url string, html string")
     folder = archives.new_folder(spark, "warc")
