@@ -89,7 +89,7 @@ def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _hash(form: str) -> Column:
-    return F.xxhash64(*[F.when(F.lit(j) < F.col("len"), F.get(form, F.col("at") + j)) for j in range(WINDOW)])
+    return F.xxhash64(F.slice(form, F.col("at") + 1, F.col("len")))
 
 
 def _text(form: str) -> Column:
@@ -121,12 +121,14 @@ def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda j: is_slot(F.get("caps", F.col("at") + j)))
     named = F.transform(named, lambda j: F.struct(j.alias("j"), F.get("caps", F.col("at") + j).alias("type"), F.get("raw", F.col("at") + j).alias("value")))
     free = lambda s: is_slot(F.get("tokens", F.col("at") + s["j"])) | F.array_contains("known", s["value"])
-    w = w.select("*", slots.alias("slots"), F.filter(named, free).alias("named"), F.filter(named, lambda s: ~free(s)).alias("fixed")).withColumn("open", F.size("slots") <= F.col("len") - LITERALS)
-    none = F.filter("slots", lambda s: F.lit(False))
+    w = w.select("*", slots.alias("slots"), F.filter(named, free).alias("named"), F.filter(named, lambda s: ~free(s)).alias("kept")).withColumn("open", F.size("slots") <= F.col("len") - LITERALS)
+    # the words that must be the same, each in its place
+    fixed = F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda j: F.get(F.transform(F.filter("kept", lambda s: s["j"] == j), lambda s: s["value"]), F.lit(0)))
+    none = F.array().cast("array<string>")
     kinds = [
         F.struct(_hash("raw").alias("hash"), _text("raw").alias("window"), (F.size("slots") == 0).alias("template"), F.lit(False).alias("start"), "slots", none.alias("fixed")),
         F.when(F.col("open") & (F.size("slots") > 0), F.struct(_hash("tokens").alias("hash"), _text("tokens").alias("window"), F.lit(True).alias("template"), F.lit(False).alias("start"), "slots", none.alias("fixed"))),
-        F.when((F.size("named") <= F.col("len") - LITERALS) & (_text("caps") != _text("tokens")), F.struct(_hash("caps").alias("hash"), _text("caps").alias("window"), F.lit(True).alias("template"), F.lit(True).alias("start"), F.col("named").alias("slots"), "fixed")),
+        F.when((F.size("named") <= F.col("len") - LITERALS) & (_text("caps") != _text("tokens")), F.struct(_hash("caps").alias("hash"), _text("caps").alias("window"), F.lit(True).alias("template"), F.lit(True).alias("start"), F.col("named").alias("slots"), fixed.alias("fixed"))),
     ]
     kept = w.groupBy("item_id").agg(F.size(F.collect_set("at")).alias("all"), F.size(F.collect_set(F.when(F.col("open"), F.col("at")))).alias("templates"))
     each = w.select("item_id", "at", "len", F.inline(F.filter(F.array(*kinds), lambda k: k.isNotNull())))
@@ -146,7 +148,10 @@ def _found(docs: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
     probed = _windows(d, lengths).withColumns({"h0": _hash("raw"), "h1": _hash("tokens"), "h2": _hash("caps")}).withColumn("hash", probes).where("hash IS NOT NULL")
     hit = probed.join(b, "hash").where(F.col("len") == F.col("item_len"))
     plain = (_text("raw") == F.col("window")) | (_text("tokens") == F.col("window"))
-    hit = hit.where((plain | (_text("caps") == F.col("window"))) & F.forall("fixed", lambda s: s["value"] == F.get("raw", F.col("at") + s["j"])))
+    # no lambda here: with one, the join would copy a document's lists for each of its windows
+    for j in range(WINDOW):
+        hit = hit.where(F.coalesce(F.get("fixed", F.lit(j)) == F.get("raw", F.col("at") + j), F.lit(True)))
+    hit = hit.where(plain | (_text("caps") == F.col("window")))
     hit = hit.withColumn("start", F.col("start") | ~plain)
     pairs = F.transform("slots", lambda s: F.struct(s["type"].alias("type"), s["value"].alias("item"), F.get("raw", F.col("at") + s["j"]).alias("doc")))
     found = hit.select(*keys, "item_id", "len", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "all", "templates", "template", "start", pairs.alias("pairs"))
