@@ -12,7 +12,7 @@ one place may carry several labels; an empty table gives an empty result; furthe
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,27 +93,20 @@ class Scanner:
         out = []
         for i, places in near.items():
             raw, label, errors, match = self.notices[i]
-            places.sort()
-            merged = [list(places[0])]
-            for a, b in places[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                out += [(m.start(), m.end(), label, sum(m.fuzzy_counts), len(raw)) for m in match.finditer(s, a, min(b, len(s)))]
+            # each window by itself: over several, the best match would hide worse ones before it
+            spans = {(*m.span(), sum(m.fuzzy_counts)) for a, b in set(places) for m in match.finditer(s, a, min(b, len(s)))}
+            out += [(a, b, label, e, len(raw)) for a, b, e in spans]
         # a place belongs to the notice that fits it with the fewest errors
         return _fittest(out) if len(out) > 1 else out
 
 
 def _fittest(places: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int, str, int, int]]:
-    """Each place is compared with those that can overlap it."""
-    places, widest = sorted(places), max(b - a for a, b, *_ in places)
-    starts, kept = [p[0] for p in places], []
-    for x in places:
-        near = places[bisect_left(starts, x[0] - widest) : bisect_left(starts, x[1])]
-        if not any(y[3] < x[3] and x[0] < y[1] for y in near):
-            kept.append(x)
+    """Fewest errors first, each place is compared with those kept that can overlap it; a notice keeps one of its own."""
+    widest, kept = max(b - a for a, b, *_ in places), []
+    for x in sorted(places, key=lambda p: (p[3], p)):
+        near = kept[bisect_left(kept, (x[0] - widest,)) : bisect_left(kept, (x[1],))]
+        if not any(x[0] < y[1] and (y[3] < x[3] or (y[2], y[4]) == (x[2], x[4])) for y in near):
+            insort(kept, x)
     return kept
 
 

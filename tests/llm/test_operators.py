@@ -133,6 +133,12 @@ def test_notices(docs, spark, none):
     assert notices.scan_notices(docs).count() == len(ROWS) and notices.scan_notices(none).count() == 0
 
 
+def test_notices_keep_worse_matches_beside_better_ones():
+    scan = notices.Scanner()
+    assert [x[2:4] for x in scan.fuzzy_places(b" all right reserve all rights reserved all rights reservd ")] == [("reserved", 2), ("reserved", 0), ("reserved", 1)]
+    assert [x[2] for x in scan.fuzzy_places(b" licenced undr cc by nd licensed under cc by nc ")] == ["cc-by-nd", "cc-by-nc"]
+
+
 def test_quality(spark, sf, docs, none):
     table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.train(table, labels)
