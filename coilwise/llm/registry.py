@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("mixing", "templates", "repeats", "notices", "quality", "token_files", "url_rules", "sketches", "ngram_join", "archives")
+MODULES = ("mixing", "templates", "repeats", "notices", "quality", "token_files", "url_rules", "sketches", "ngram_join", "archives", "merkle", "pieces", "variants")
 
 
 def llm_query(name: str, sql: str | None = None):
