@@ -4,37 +4,42 @@ In a model whose pieces never hold a marker after another character, no merge cr
 marker, nor the places around a character that no piece holds. So a text is the sequence of its chunks: a
 run of markers with what follows it, or a line end with what follows.
 
-1. ``cut``: texts of about SLICE bytes make a slice: its distinct chunks, and each place's number among them.
-2. ``segmented``: every distinct chunk of the corpus is encoded once by the library.
-3. ``joined``: ids come back to each slice by chunk and are put in their places; begin and end ids go around
-   every document.
+1. ``cut``: texts of about SLICE bytes make a slice: its distinct chunks, the most frequent first, and each
+   place's number among them. Slices are stored in buckets, so the places never move.
+2. ``segmented``: the distinct chunks of all slices meet in sorted partitions, where every chunk of the corpus
+   is encoded once by the library, and its ids are listed for each slice that holds it.
+3. ``encoded``: the ids come back to each slice and are put in their places; begin and end ids go around every
+   document.
 
 A chunk moves once per slice that holds it, however often it occurs there, so a frequent word is not a hot
 key. For a model of another kind (``cuts_at_markers``) whole texts are the chunks.
 
 Defined cases: a null text is encoded as an empty one, with begin and end ids alone; a null or repeated
 doc_id makes a row each; equal texts share their chunks; a text without blanks is one chunk; an empty table
-gives an empty result; columns other than doc_id and text are not read. A text is held in memory whole, with
-about eight bytes per chunk.
+gives an empty result; columns other than doc_id and text are not read. A slice is held in memory whole, with
+a text of any length as its last.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import llm_query
-from .shared import slices, stored
+from .shared import new_folder, slices
 
 MARK = "▁"
-SLICE = 2 << 20
+SLICE = 16 << 20
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
+_ZSTD = pa.Codec("zstd")
 _models: dict[str, object] = {}
 
 
@@ -68,77 +73,126 @@ def encode_chunk(tool, chunk: str) -> list[int]:
     return tool.encode(chunk[1:]) if chunk[0] == MARK else tool.encode(chunk)[1:]
 
 
+def packed(refs: np.ndarray) -> bytes:
+    """Small numbers as compressed byte planes."""
+    return _ZSTD.compress(refs.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(data, 4 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+class Slice:
+    """Texts gathered until they are written as one row."""
+
+    def __init__(self) -> None:
+        self.keys: list[pa.Array] = []
+        self.counts: list[int] = []
+        self.refs: list[np.ndarray] = []
+        self.chunks: dict[str, int] = {}
+        self.size = 0
+
+    def add(self, keys: pa.Array, texts: list[str | None], chunked: bool) -> None:
+        self.keys.append(keys)
+        number = self.chunks
+        for text in texts:
+            found = cut_text(text or "") if chunked else [text] if text else []
+            self.counts.append(len(found))
+            self.refs.append(np.fromiter((number.setdefault(c, len(number)) for c in found), "<u4", len(found)))
+            self.size += len(text or "")
+
+    def row(self, number: int) -> pa.RecordBatch:
+        refs = np.concatenate(self.refs)
+        order = np.argsort(-np.bincount(refs, minlength=len(self.chunks)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        keys, chunks = pa.concat_arrays(self.keys), pa.array(list(self.chunks), pa.string()).take(pa.array(order))
+        return pa.RecordBatch.from_arrays([
+            pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, len(keys)], keys), pa.array([self.counts], pa.list_(pa.int64())),
+            pa.array([packed(rank[refs])], pa.binary()), pa.ListArray.from_arrays([0, len(chunks)], chunks),
+        ], ["slice", "docs", "counts", "refs", "chunks"])
+
+
 def cut(docs: DataFrame, chunked: bool) -> DataFrame:
     """(slice, docs, counts, refs, chunks): a row per slice of texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        for b in slices(batches, "text", SLICE):
-            chunks: dict[str, int] = {}
-            counts, refs = [], []
-            for text in b.column(1).to_pylist():
-                found = cut_text(text or "") if chunked else [text] if text else []
-                counts.append(len(found))
-                refs.append(np.fromiter((chunks.setdefault(c, len(chunks)) for c in found), "<u4", len(found)))
-            flat = np.concatenate(refs)
-            flat = flat.astype("<u2") if len(chunks) <= 1 << 16 else flat
-            yield pa.RecordBatch.from_arrays([
-                pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, b.num_rows], b.column(0)), pa.array([counts], pa.list_(pa.int64())),
-                pa.array([flat.tobytes()], pa.binary()), pa.array([list(chunks)], pa.list_(pa.string())),
-            ], ["slice", "docs", "counts", "refs", "chunks"])
-            number += 1
+        number, held = TaskContext.get().partitionId() << 33, Slice()
+        for b in slices(batches, "text"):
+            held.add(b.column(0), b.column(1).to_pylist(), chunked)
+            if held.size >= SLICE:
+                yield held.row(number)
+                number, held = number + 1, Slice()
+        if held.keys:
+            yield held.row(number)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"slice bigint, docs array<{kind}>, counts array<bigint>, refs binary, chunks array<string>")
 
 
-def segmented(chunks: DataFrame, file: str, chunked: bool) -> DataFrame:
-    """(chunk, ids) of distinct chunks; ids as uint32 bytes."""
+def in_buckets(rows: DataFrame, column: str, label: str) -> DataFrame:
+    """Write rows where they are, in buckets of a column, to the shared folder: a join by it moves the other side alone."""
+    spark, name = rows.sparkSession, f"coilwise_{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, column).option("compression", "zstd").option("path", new_folder(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
+def segmented(used: DataFrame, file: str, chunked: bool) -> DataFrame:
+    """(slice, at, ids) of (slice, at, chunk); rows of a chunk follow each other, and it is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = model_of(file)
+        tool, last, ids = model_of(file), None, b""
         for b in slices(batches, "chunk"):
-            ids = [np.array(encode_chunk(tool, c) if chunked else tool.encode(c), "<u4").tobytes() for c in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["chunk", "ids"])
+            out = []
+            for chunk in b.column(2).to_pylist():
+                if chunk != last:
+                    last, ids = chunk, np.array(encode_chunk(tool, chunk) if chunked else tool.encode(chunk), "<u4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["slice", "at", "ids"])
 
-    return chunks.mapInArrow(run, "chunk string, ids binary")
+    return used.select("slice", "at", "chunk").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "slice bigint, at int, ids binary")
 
 
-def in_place(counts: np.ndarray, refs: np.ndarray, table: list[bytes]) -> Iterator[np.ndarray]:
-    """Ids of each document of a slice."""
-    flat = np.frombuffer(b"".join(table), "<u4")
-    size = np.array([len(x) // 4 for x in table], np.int64)
+def in_place(counts: np.ndarray, refs: np.ndarray, flat: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Ids of each document of a slice; ``flat`` holds the chunks' ids end to end, ``size`` their numbers."""
     first = np.cumsum(size) - size
     edges = np.concatenate([[0], np.cumsum(counts)])
     for a, z in zip(edges, edges[1:], strict=False):
         r = refs[a:z]
         n = size[r]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        yield flat[np.repeat(first[r] - (ends - n), n) + np.arange(total)]
+        yield flat[np.repeat(first[r] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def encoded(docs: DataFrame, file: str) -> DataFrame:
     """(doc_id, ids, text) of every document: uint32 bytes with begin and end ids, and the decoded text."""
     chunked = cuts_at_markers(file)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts, _ = stored(cut(docs, chunked), "slices")
-    table, _ = stored(segmented(parts.select(F.explode("chunks").alias("chunk")).distinct(), file, chunked), "segments")
-    used = parts.select("slice", F.posexplode("chunks").alias("at", "chunk")).join(table, "chunk")
-    # as many rows as the slice has chunks, which its size bounds
-    dictionaries = used.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("at", "ids")))["ids"].alias("table"))
+    parts = in_buckets(cut(docs, chunked), "slice", "slices")
+    ids = segmented(parts.select("slice", F.posexplode("chunks").alias("at", "chunk")), file, chunked)
+    # as many entries as the slice has chunks, which its size bounds
+    dictionaries = ids.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("at", "ids")))["ids"].alias("table"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = model_of(file)
         begin, end = [np.array([i], "<u4") for i in (tool.bos_id(), tool.eos_id())]
         for b in batches:
             for i in range(b.num_rows):
-                keys, counts, refs, words = (b.column(k)[i] for k in range(4))
-                words = words.as_py() or []
-                numbers = np.frombuffer(refs.as_buffer(), "<u2" if len(words) <= 1 << 16 else "<u4")
-                ids = [np.concatenate([begin, x, end]) for x in in_place(np.array(counts.as_py(), np.int64), numbers, words)]
-                texts = [tool.decode(x.tolist()) for x in ids]
-                yield pa.RecordBatch.from_arrays([keys.values, pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                keys, counts = b.column(0)[i].values, b.column(1)[i].values.to_numpy()
+                table = b.column(3)[i].values if b.column(3)[i].is_valid else pa.array([], pa.binary())
+                flat = np.frombuffer(b"".join(table.to_pylist()), "<u4")
+                size = pc.binary_length(table).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+                rows: list[tuple[bytes, str]] = []
+                held = done = 0
+                for x in in_place(counts, unpacked(b.column(2)[i].as_py(), int(counts.sum())), flat, size):
+                    x = np.concatenate([begin, x, end])
+                    rows.append((x.tobytes(), tool.decode(x.tolist())))
+                    held += 8 * len(x)
+                    if held > 4 << 20 or done + len(rows) == len(keys):
+                        yield pa.RecordBatch.from_arrays([keys.slice(done, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.string()), strict=True))], ["doc_id", "ids", "text"])
+                        done, held, rows = done + len(rows), 0, []
 
     rows = parts.select("slice", "docs", "counts", "refs").join(dictionaries, "slice", "left").select("docs", "counts", "refs", "table")
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary, text string")
