@@ -131,7 +131,7 @@ def proofs(docs: DataFrame) -> DataFrame:
     records, tops = grow(leaves.select("tree", F.col("rank").alias("at"), "n", F.col("leaf").alias("digest")))
     tops, _ = stored(tops.join(leaves.select("tree", "lang").distinct(), "tree"), "merkle-tops")
 
-    subroots = ranked(tops, [F.col("lang").asc_nulls_first()], [], "merkle-subroots").select("*", F.lit("").alias("root_tree"))
+    subroots, _ = stored(ranked(tops, [F.col("lang").asc_nulls_first()], [], "merkle-subroots").select("*", F.lit("").alias("root_tree")), "merkle-langs")
     root_records, root_top = grow(subroots.select(F.col("root_tree").alias("tree"), F.col("rank").alias("at"), "n", "digest"))
     root = root_top.first()
     nowhere = F.array().cast("array<struct<digit:int,others:array<string>>>").alias("path")
