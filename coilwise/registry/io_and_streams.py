@@ -19,6 +19,7 @@ from ..session import ensure_checkpoint_dir, reuse
 from ..sources import coco, labels, sinks
 from ..sources import logs
 from ..sources import tables as t
+from ..streaming import coils as live
 from ..streaming import monitor as mo
 from . import sql as s
 from .base import big, det, gt, query, r6
@@ -243,6 +244,25 @@ def coil_close_sessions(spark, d):
     return out.select("line_id", F.unix_micros("opened").alias("opened"), "frames", big("defects"), r6("mean_ms"), "disposition")
 
 
+COIL_TIME = "(o_custkey * 7200 + o_orderkey % 600)"  # coils run one after the other, two hours apart
+
+
+@query("coil_close_dispositions", "L3 E19 E20", _results_sql() + STATS_SQL + DISPOSE_SQL + f""" WHERE coil_id IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING max({COIL_TIME}) + 1800 <= (SELECT max({COIL_TIME}) - 600 FROM orders))""")
+def coil_close_dispositions(spark, d):
+    """All frames replayed in two runs of one stream, cut inside a coil; the second run brings the frames of that coil again."""
+    at = _scratch(spark)
+    second = F.col("coil_id") * 7200 + F.col("frame_id") % 600
+    rows = _results(spark, d).select(
+        "coil_id", "frame_id", F.timestamp_seconds(second).alias("ts"), "verdict", big("defect_count"), dbl("severity_score").alias("severity_score"), "severity_band",
+        F.col("has_flag_class").cast("int").alias("has_flag_class"), "total_ms")
+    cut = rows.agg(F.max("coil_id")).first()[0] // 2 * 7200 + 300
+    live.state_in_rocksdb(spark)
+    for part in (F.unix_seconds("ts") < cut, F.unix_seconds("ts") >= cut - 300):
+        rows.where(part).write.mode("append").parquet(f"{at}/frames")
+        live.publish(live.close_coils(live.read_frames(spark, f"{at}/frames")), f"{at}/closed", f"{at}/ckpt")
+    return live.published(spark, f"{at}/closed").select("coil_id", "disposition", F.array_join("reasons", "; ").alias("reasons"), r6("defect_rate"), r6("p95_severity"))
+
+
 # ---------------------------------------------------------------- scoring and SQL functions
 
 def stripe_scorer(tiles: pd.DataFrame) -> pd.DataFrame:
