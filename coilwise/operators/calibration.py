@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +16,7 @@ from ..functions.geometry import dbl
 from ..functions.hashing import unit_hash
 from ..functions.stats import ratio
 from ..session import checkpointed
+from .isotonic import isotonic_knots
 from .scale import running, threshold_steps, with_grid
 
 MIN_BIN = 20  # fixed value: bins below this do not count for the maximum gap
@@ -101,14 +99,35 @@ def fit_temperature(counts: DataFrame, keys: Sequence[str] = (), refinements: in
     return best.select(*keys, F.exp("log_t").alias("temperature"), "nll")
 
 
+PLATT_ROUNDS, PLATT_STEP = 20, 2.0
+
+
+def platt_params(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, slope, intercept) of a logistic curve on the logit, by Newton steps on (keys, score, n, k).
+
+    All keys are fitted together; a round sums five numbers per key. A step moves either parameter by at
+    most PLATT_STEP, and a key without curvature left stays where it is.
+    """
+    keys = list(keys)
+    z, n = logit("score"), dbl("n")
+    p = sigmoid(F.col("slope") * z + F.col("intercept"))
+    w, off = n * p * (1 - p), dbl("k") - n * p
+    now = (counts.select(*keys).distinct() if keys else counts.sparkSession.range(1).select()).select(*keys, dbl(1).alias("slope"), dbl(0).alias("intercept"))
+    for _ in range(PLATT_ROUNDS):
+        on = counts.join(F.broadcast(now), keys) if keys else counts.join(F.broadcast(now))  # one row per key, of which there are few
+        sums = on.groupBy(*keys, "slope", "intercept").agg(
+            F.sum(off * z).alias("ga"), F.sum(off).alias("gb"), F.sum(w * z * z).alias("aa"), F.sum(w * z).alias("ab"), F.sum(w).alias("bb"))
+        det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+        step = lambda top: F.when(det > 1e-12, F.least(F.greatest(top / det, dbl(-PLATT_STEP)), dbl(PLATT_STEP))).otherwise(0.0)
+        now = sums.select(
+            *keys, (F.col("slope") + step(F.col("bb") * F.col("ga") - F.col("ab") * F.col("gb"))).alias("slope"),
+            (F.col("intercept") + step(F.col("aa") * F.col("gb") - F.col("ab") * F.col("ga"))).alias("intercept"))
+    return now
+
+
 def fit_platt(counts: DataFrame) -> tuple[float, float]:
     """Slope and intercept of a logistic curve on the logit; the slope has to be positive."""
-    rows = counts.select(logit("score").alias("z"), F.inline(F.array(
-        F.struct(dbl(1).alias("label"), dbl("k").alias("w")), F.struct(dbl(0).alias("label"), dbl(F.col("n") - F.col("k")).alias("w"))
-    ))).where("w > 0")
-    data = VectorAssembler(inputCols=["z"], outputCol="features").transform(rows)
-    model = LogisticRegression(regParam=0.0, weightCol="w", maxIter=200, tol=1e-10).fit(data)
-    slope, intercept = float(model.coefficients[0]), float(model.intercept)
+    slope, intercept = platt_params(counts).first()
     if slope <= 0:
         raise ValueError("the fitted slope is not positive, the ranking would not be kept")
     return slope, intercept
@@ -116,17 +135,7 @@ def fit_platt(counts: DataFrame) -> tuple[float, float]:
 
 def fit_isotonic(counts: DataFrame, smoothing: float = 0.5) -> DataFrame:
     """Knots (x, y) of the monotone fit: plateaus shrunk towards one half, then made monotone again."""
-    data = counts.select("score", "n", "k", (F.col("k") / F.col("n")).alias("rate"), dbl("n").alias("w"))
-    iso = IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="w", predictionCol="fit").fit(data)
-    fitted = iso.transform(data).withColumn("fit", F.round("fit", 12))
-    plateaus = fitted.groupBy("fit").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("n").alias("n"), F.sum("k").alias("k"))
-    plateaus = plateaus.withColumn("rate", (F.col("k") + smoothing) / (F.col("n") + 2 * smoothing)).withColumn("w", dbl("n"))
-    if smoothing > 0:
-        again = IsotonicRegression(featuresCol="lo", labelCol="rate", weightCol="w", predictionCol="y").fit(plateaus)
-        plateaus = again.transform(plateaus)
-    else:
-        plateaus = plateaus.withColumn("y", F.col("fit"))
-    return plateaus.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"), clip01("y").alias("y"))
+    return isotonic_knots(counts, (), smoothing)
 
 
 # ---------------------------------------------------------------- applying knots
@@ -163,18 +172,18 @@ def select_family(scores: DataFrame, folds: int = 5, seed: str = "folds", eligib
     counts are enough for all errors.
     """
     fold = F.floor(unit_hash(seed, "frame_id") * folds).cast("int")
-    # the fits below plan dozens of small jobs on this table, so its lineage is cut once
+    # the fits below read this table again and again, so its lineage is cut once
     counts = checkpointed(scores.withColumn("fold", fold).groupBy("fold", "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("k")))
+    others = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold")))
+    train = checkpointed(counts.select(others.alias("held"), "score", "n", "k").groupBy("held", "score").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
+    held = counts.select(F.col("fold").alias("held"), "score", "n", "k")
+    params = fit_temperature(train, ["held"]).join(platt_params(train, ["held"]), "held")
+    curves = held.join(F.broadcast(params), "held")  # one row per fold
     parts = [counts.select(F.lit("identity").alias("family"), "score", "n", "k", F.col("score").alias("p"))]
-    for f in range(folds):
-        train = counts.where(F.col("fold") != f).groupBy("score").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        held = counts.where(F.col("fold") == f).select("score", "n", "k")
-        temp = float(fit_temperature(train).first()["temperature"])
-        slope, icept = fit_platt(train)
-        parts.append(held.select(F.lit("temperature").alias("family"), "score", "n", "k", parametric("score", "temperature", temperature=temp).alias("p")))
-        parts.append(held.select(F.lit("platt").alias("family"), "score", "n", "k", parametric("score", "platt", slope=slope, intercept=icept).alias("p")))
-        knots = fit_isotonic(train)
-        parts.append(interpolate_knots(held, knots, out="p").select(F.lit("isotonic").alias("family"), "score", "n", "k", "p"))
+    parts.append(curves.select(F.lit("temperature").alias("family"), "score", "n", "k", parametric("score", F.lit("temperature"), temperature=F.col("temperature")).alias("p")))
+    parts.append(curves.select(F.lit("platt").alias("family"), "score", "n", "k", parametric("score", F.lit("platt"), slope=F.col("slope"), intercept=F.col("intercept")).alias("p")))
+    knots = checkpointed(isotonic_knots(train, ["held"]))
+    parts.append(interpolate_knots(held, knots, out="p", keys=["held"]).select(F.lit("isotonic").alias("family"), "score", "n", "k", "p"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
