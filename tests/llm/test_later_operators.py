@@ -115,6 +115,7 @@ def piece_rows(rows):
 
 def test_pieces_equal_the_library(spark, docs, none, monkeypatch):
     monkeypatch.setattr(pieces, "SLICE", 5000)
+    monkeypatch.setattr(pieces, "FREQUENT", 40)
     assert sorted(map(str, map(tuple, pieces.piece_digest(docs).collect()))) == sorted(map(str, piece_rows(ROWS)))
     rng = np.random.default_rng(4)
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, "".join(TEXTS[k] for k in rng.integers(0, len(TEXTS) - 5, 6))) for i in range(300)] + [(None, "the the"), (None, "the the"), (None, None)]
@@ -123,10 +124,14 @@ def test_pieces_equal_the_library(spark, docs, none, monkeypatch):
     assert pieces.piece_digest(none).count() == 0
 
 
-def test_pieces_of_whole_texts(spark, monkeypatch):
-    monkeypatch.setattr(pieces, "cuts_at_markers", lambda file: False)
-    rows = list(enumerate(TEXTS))
-    assert sorted(map(str, map(tuple, pieces.piece_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))) == sorted(map(str, piece_rows(rows)))
+def test_chunks_cut_nowhere_or_at_all_places():
+    tool = pieces.model_of(pieces.default_model())
+    whole, cut = pieces.Cutter(pieces.default_model()), pieces.Cutter(pieces.default_model())
+    whole.exact = False
+    for text in TEXTS:
+        for c in (whole, cut):
+            assert b"".join(map(c.ids, c.chunks(text))) == np.array(tool.encode(text), "<u4").tobytes()
+        assert len(whole.chunks(text)) <= 1
 
 
 def test_many_chunks_need_wide_numbers(spark):
