@@ -10,9 +10,10 @@ are fitted together. Weights and weighted sums that are whole numbers are compar
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 from math import ceil
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,17 +44,14 @@ def pooled(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     blocks = rows.where("weight > 0").select(*keys, "lo", "hi", F.col("weight").cast(kind).alias("weight"), F.col("total").cast(kind).alias("total"))
     schema = blocks.select(*keys, "lo", "hi", "weight", "total").schema.simpleString()[7:-1].replace(":", " ")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if not held:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if not some:
             return
-        held = pd.concat(held, ignore_index=True)
-        at = held.groupby(keys, sort=False, dropna=False) if keys else [((), held)]
-        for key, g in at:
-            out = pd.DataFrame(pool(*(g[c].tolist() for c in ("lo", "hi", "weight", "total"))), columns=["lo", "hi", "weight", "total"])
-            for name, v in zip(keys, key, strict=True):
-                out.insert(0, name, v)
-            yield out[[*keys, "lo", "hi", "weight", "total"]]
+        held = pa.Table.from_batches(some)
+        rows = zip(*(c.to_pylist() for c in held.columns), strict=True)
+        out = [(*key, *block) for key, own in groupby(rows, lambda r: r[: len(keys)]) for block in pool(*list(zip(*own, strict=True))[len(keys) :])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), held.schema, strict=True)], schema=held.schema)
 
     blocks = checkpointed(blocks)
     turn = 0
@@ -62,7 +60,7 @@ def pooled(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         one = ranges <= 1
         # other borders in every round, so no border between two violators stays for ever
         dealt = blocks.coalesce(1) if one else blocks.repartitionByRange(ranges + 1 + turn % 3, *keys, "lo")
-        blocks = checkpointed(dealt.sortWithinPartitions(*keys, "lo").mapInPandas(run, schema).withColumn("__part", F.spark_partition_id()))
+        blocks = checkpointed(dealt.sortWithinPartitions(*keys, "lo").mapInArrow(run, schema).withColumn("__part", F.spark_partition_id()))
         if one or not _violated(blocks, keys):
             return blocks.drop("__part")
         blocks, turn = blocks.drop("__part"), turn + 1
