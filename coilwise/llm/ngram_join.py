@@ -115,24 +115,22 @@ def prefixes(key: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, times:
 
 def _mapped(docs: DataFrame, words: int, fn, schema: str, *more: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: set[int] = set()
         for b in slices(batches, "text"):
-            key, offsets = shingle_sets(b.column(b.schema.get_field_index("text")), words)
-            yield fn(b, key, offsets, state)
+            yield fn(b, *shingle_sets(b.column(b.schema.get_field_index("text")), words))
 
     return docs.select("text", *more).mapInArrow(run, schema)
 
 
-def _nodes(b, key, offsets, state):
+def _nodes(b, key, offsets):
     return pa.RecordBatch.from_arrays([b.column(1), pa.array(set_digests(key, offsets)), pa.array(np.diff(offsets))], ["doc_id", "sid", "n"])
 
 
-def _low_counts(b, key, offsets, state):
+def _low_counts(b, key, offsets):
     t, c = np.unique(key[key < LOW], return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], ["t", "c"])
 
 
-def _sets(b, key, offsets, state):
+def _sets(b, key, offsets):
     sid, sketch = set_digests(key, offsets), parity_sketches(key, offsets)
     keys = pa.array([key[a:z].tobytes() for a, z in zip(offsets, offsets[1:], strict=False)], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(sid), keys, *map(pa.array, sketch.T.copy())], ["sid", "keys", *SKETCH])
@@ -154,10 +152,11 @@ def postings(docs: DataFrame, words: int, share: int) -> DataFrame:
     """(t, sid, n, l): the prefix shingles of every distinct set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
 
-    def post(b, key, offsets, seen):
+    def post(b, key, offsets):
         sid = set_digests(key, offsets)
         places, own, match = prefixes(key, offsets, *shared.value, share)
-        new = np.array([s not in seen and not seen.add(s) for s in sid.tolist()], bool)  # a task posts a set once
+        new = np.zeros(len(sid), bool)
+        new[np.unique(sid, return_index=True)[1]] = True  # a set once a slice; the aggregation drops the other repeats
         kept = new[own]
         own = own[kept]
         return pa.RecordBatch.from_arrays([pa.array(key[places[kept]].view(np.int64)), pa.array(sid[own]), pa.array(np.diff(offsets)[own]), pa.array(match[own])], ["t", "sid", "n", "l"])

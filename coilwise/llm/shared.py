@@ -57,7 +57,7 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece holds about ``most`` bytes of text, or one long row."""
     for b in batches:
         if not b.num_rows:

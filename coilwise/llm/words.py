@@ -16,15 +16,18 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
+KEPT = 1 << 19  # powers that a worker keeps; longer texts make theirs anew
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 21), base, np.uint64)
+        steps = np.full(max(n, KEPT), base, np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps, out=steps)
+        if len(have) <= KEPT:
+            _powers[base] = have
     return have[:n]
 
 
@@ -64,7 +67,10 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of every word, from prefix sums of a polynomial in its bytes."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
+    part = sums[1:]
+    np.add(data, np.uint64(1), out=part, dtype=np.uint64)
+    part *= _power(_BASE, len(data))
+    np.cumsum(part, out=part)
     raw = (sums[end] - sums[start]) * _power(_INVERSE, len(data) + 1)[start]
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
