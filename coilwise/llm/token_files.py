@@ -35,18 +35,23 @@ END_ID = 1
 LIMIT = 18
 BLOCK = 1 << 16
 STEP = 256
-REMEMBER = 2_200_000  # pieces whose ids a worker keeps
+REMEMBER = 400_000  # pieces that a worker learns before it lets go of those not seen since it last did
+SLICE = 2 << 20
 
 _known: dict[str, dict[str, bytes]] = {}
+_older: dict[str, dict[str, bytes]] = {}
 _tools: dict[str, object] = {}
 _ends: dict[str, np.ndarray] = {}
+_apart: dict[str, bool] = {}
+PROBE = "the cat's 12 cats, sat. don't x-ray naïve straße 中文 (ok) a.b,c #1 w"
 
 
 class Tokeniser:
-    """Ids of texts by a public tokenizer file that cuts at white space; ids of words are remembered.
+    """Ids of texts by a public tokenizer file; ids of words are remembered, of the words seen last.
 
-    Such a tokenizer treats the pieces between blanks and line ends independently, so a text's ids are
-    its pieces' ids in turn. A single full stop or comma after letters is a piece of its own.
+    A tokenizer that drops white space treats the pieces between blanks and line ends independently, so a text's ids are
+    its pieces' ids in turn. A single full stop or comma after letters is a piece of its own. Where the file's
+    tokenizer works otherwise, which a probe finds out, texts are encoded whole.
     """
 
     def __init__(self, file: str):
@@ -60,12 +65,26 @@ class Tokeniser:
             _ends[file] = np.zeros(max(vocabulary.values()) + 1, bool)
             _ends[file][[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in _tools[self.file].encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cuts(self) -> bool:
+        """Whether the file's tokenizer treats pieces between blanks by themselves and ends every word with a mark of its own."""
+        texts = [PROBE, PROBE.upper(), PROBE.title(), PROBE.replace(" ", "\n"), PROBE.replace(" ", "  ")]
+        pieces = [p for p in PROBE.split(" ") if p]
+        apart = [b"".join(self._whole(pieces)), b"".join(self._whole([p.upper() for p in pieces]))]
+        whole = self._whole(texts)
+        words = self._whole([p for p in pieces if p.isalpha()])
+        once = all(_ends[self.file][np.frombuffer(w, "<u4")].sum() == 1 and _ends[self.file][np.frombuffer(w, "<u4")[-1]] for w in words)
+        return once and whole == [apart[0], apart[1], apart[0], apart[0], apart[0]]
+
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces, with their words encoded together: each word ends with an id that ends words."""
         known, tool = self.known, _tools[self.file]
-        cut = {p: p[:-1] for p in pieces if p[-1] in ".," and p[:-1].isalpha()}
+        # letters whose lower case ends in a mark are not cut: the tokenizer joins that mark with what follows
+        cut = {p: p[:-1] for p in pieces if p[-1] in ".," and p[:-1].lower().isalpha()}
         fresh = {p for p in (*cut.values(), ".", ",") if p not in known} | {p for p in pieces if p not in cut}
-        words = [p for p in fresh if p.isalpha()]
+        words = [p for p in fresh if p.lower().isalpha()]
         ids = np.array(tool.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         last = np.flatnonzero(_ends[self.file][ids]) + 1
         if len(last) == len(words):
@@ -79,14 +98,20 @@ class Tokeniser:
             known[p] = known[stem] + known[p[-1]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if self.file not in _apart:
+            _apart[self.file] = self._cuts()
+        if not _apart[self.file]:
+            return self._whole(texts)
         # the tokenizer lower-cases letter by letter; the two letters whose case hangs on context or length stay
         cut = [(t if "Σ" in t or "İ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
         pieces = set().union(*cut)
+        if len(self.known) > REMEMBER:
+            _older[self.file], self.known = self.known, {"": b""}
+            _known[self.file] = self.known
+        older = _older.get(self.file, {})
         new = pieces.difference(self.known)
-        if len(self.known) + len(new) > REMEMBER:  # start over with the pieces of these texts
-            self.known.clear()
-            self.known[""] = b""
-            new = pieces - {""}
+        self.known.update((p, older[p]) for p in new.intersection(older))
+        new.difference_update(self.known)
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
@@ -100,7 +125,7 @@ def tokenised(docs: DataFrame, file: str, ranges: int) -> tuple[DataFrame, str]:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Tokeniser(file)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             keys = b.column(b.schema.get_field_index("doc_id"))
             at = np.searchsorted(bounds, keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left")
             ids = tool.ids([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])

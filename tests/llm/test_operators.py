@@ -219,9 +219,32 @@ def test_tokeniser_forgets_and_learns_again(monkeypatch):
     want = t.ids(["a b c d, e."])
     for text in ("f g h", "a b c d, e.", "i j k l m n o p q", "a b x", "b y a"):
         t.ids([text])
+        assert len(t.known) + len(token_files._older.get(t.file, {})) <= 2 * (8 + 20)
     assert t.ids(["a b c d, e."]) == want
 
 
+def test_tokeniser_equals_the_library_on_odd_letters():
+    from tokenizers import Tokenizer
+
+    tool, own = Tokenizer.from_file(token_files.default_tokenizer()), token_files.Tokeniser(token_files.default_tokenizer())
+    assert own._cuts()
+    rng = np.random.default_rng(9)
+    odd = [*"abİıßΣςÄéñ中ǅŉΐ", "a\u0301", "\u0307", "\u0345", "1", ".", ",", "'s", "'", "-", "!", " ", " ", "\n", "<|endoftext|>", "\u00ad", "\u200d", "²"]
+    texts = ["".join(odd[k] for k in rng.integers(0, len(odd), rng.integers(1, 12))) for _ in range(20_000)] + ["BİTTİ.", "İ.", "İ, İ"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, a, b in zip(texts, own.ids(texts), want, strict=True) if a != b]
+    assert not wrong, wrong[:5]
+
+
+def test_other_tokenizer_files_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a b  c\nd, e.", "", "Plain words. "]
+    assert token_files.Tokeniser(file).ids(texts) == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(file).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_url_rules(spark):
     urls = [
         "http://www.Example.NET/en/1?a=b", "https://a.b.net/x", "ftp://example.com/de/", "http://example.com/fr/1", "https://x.org/fr/9#z", "http://x.org/frx", None, "no scheme", "://", "http://EXAMPLE.net", "x://h?/fr/", "http://notexample.net/en/",
