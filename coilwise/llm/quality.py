@@ -174,8 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees
             x = statistics(b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("quality")), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
-    rows = chosen.mapInArrow(numbers, "quality double, x array<double>").limit(2 * fit_rows).toArrow()
+    # of rows that share a doc_id, the one of smallest text, so there are at most as many rows as labels
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = chosen.select("text", "quality").mapInArrow(numbers, "quality double, x array<double>").toArrow()
     y = rows.column("quality").to_numpy()
     x = np.array(rows.column("x").to_pylist()).reshape(len(y), len(STATISTICS))
     order = np.lexsort([*x.T, y])  # the order of arrival doesn't matter
