@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"  # whole texts are large rows
+_forget: dict[str, Callable[[], None]] = {}
 
 
 @contextmanager
@@ -38,7 +41,7 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     lazy reads it any more.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
-    with _setting(spark, CLEANUP, "true"):
+    with _setting(spark, CLEANUP, "true"), _setting(spark, BATCH, "1000"):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -57,8 +60,27 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each piece holds about ``most`` bytes of text, or one long row."""
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    """Name a cache of this worker, which the tasks of other operators will have emptied."""
+    _forget[name] = forget
+
+
+def _make_room(keep: str | None) -> None:
+    """Empty the caches of other operators and give freed memory back; workers live longer than their tasks."""
+    for name in [n for n in _forget if n != keep]:
+        _forget.pop(name)()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 512 << 10, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each piece holds about ``most`` bytes of text, or one long row.
+
+    Caches of the worker but ``keep`` are emptied first.
+    """
+    _make_room(keep)
     for b in batches:
         if not b.num_rows:
             continue

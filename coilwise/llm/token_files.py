@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .registry import llm_query
-from .shared import drop, new_folder, slices, stored
+from .shared import drop, keeps, new_folder, slices, stored
 
 END_ID = 1
 LIMIT = 18
@@ -65,6 +65,11 @@ class Tokeniser:
             _ends[file] = np.zeros(max(vocabulary.values()) + 1, bool)
             _ends[file][[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        self.known = {"": b""}
+        _known.pop(self.file, None)
+        _older.pop(self.file, None)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in _tools[self.file].encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -125,7 +130,8 @@ def tokenised(docs: DataFrame, file: str, ranges: int) -> tuple[DataFrame, str]:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Tokeniser(file)
-        for b in slices(batches, "text", SLICE):
+        keeps("token ids", tool.forget)
+        for b in slices(batches, "text", SLICE, keep="token ids"):
             keys = b.column(b.schema.get_field_index("doc_id"))
             at = np.searchsorted(bounds, keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left")
             ids = tool.ids([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
