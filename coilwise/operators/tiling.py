@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,34 +125,98 @@ def mask_labelled_tiles(frames: DataFrame, runs: DataFrame, size: int, min_px: i
     return out.withColumn("label", label)
 
 
-def connected_components(runs: DataFrame) -> DataFrame:
-    """4-connected components of every class mask of every frame at once.
-
-    Runs on neighbouring rows that share a column are linked. Labels start as the run's own id and
-    take the smallest label of the neighbours; jumping to the label of the label halves the distance,
-    so the number of rounds grows with the logarithm of a component's extent. Each round is written
-    to the checkpoint folder.
+STRIP_ROWS = 4096  # mask rows that are labelled together
+LABEL_RUNS = 200_000  # runs that are held at once, beyond those of one strip
+
+
+def _run_roots(group: np.ndarray, y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """For runs sorted by (group, y, x1): the number of the first run of each run's component."""
+    n = len(y)
+    row = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (y[1:] != y[:-1])]) - 1
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    follows = np.zeros(len(first), bool)  # whether a row lies just below the one before it
+    follows[1:] = (group[first[1:]] == group[first[:-1]]) & (y[first[1:]] == y[first[:-1]] + 1)
+    on = np.flatnonzero(follows[row])
+    # runs of a row don't overlap, so those of the row above that meet a run are neighbours
+    wide = int(max(x2.max(initial=0), 0)) + 2
+    low = np.searchsorted((row * wide + x2), (row[on] - 1) * wide + x1[on], "left")
+    high = np.searchsorted((row * wide + x1), (row[on] - 1) * wide + x2[on], "right")
+    many = np.maximum(high - low, 0)
+    a = np.repeat(on, many)
+    b = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    root = np.arange(n)
+    while True:
+        old = root.copy()
+        least = np.minimum(root[a], root[b])
+        for end in (a, b):
+            np.minimum.at(root, root[end], least)
+            np.minimum.at(root, end, least)
+        root = root[root[root]]
+        if (root == old).all():
+            return root
+
+
+def connected_components(runs: DataFrame, strip: int = STRIP_ROWS) -> DataFrame:
+    """4-connected components of every class mask of every frame.
+
+    Runs are labelled strip by strip of ``strip`` rows, all masks of a task side by side, in one pass. Only
+    where a mask is taller than a strip are the components that meet at borders joined, in rounds over
+    those alone. ``component_id`` is made of the row and column of the component's first run, so it is exact
+    and belongs to (frame_id, class_id). Rows start at 0; runs of a row must not overlap.
     """
-    key = F.xxhash64("frame_id", "class_id", "y", "x_start")
-    r = checkpointed(runs.withColumn("run_id", key))
-    below = r.select("frame_id", "class_id", (F.col("y") - 1).alias("y"), F.col("x_start").alias("b1"), F.col("x_end").alias("b2"), F.col("run_id").alias("other"))
-    pair = r.join(below, ["frame_id", "class_id", "y"]).where((F.col("x_start") <= F.col("b2")) & (F.col("x_end") >= F.col("b1")))
-    edges = checkpointed(pair.select(F.inline(F.array(
-        F.struct(F.col("run_id").alias("u"), F.col("other").alias("v")), F.struct(F.col("other").alias("u"), F.col("run_id").alias("v"))
-    ))))
-    label = checkpointed(r.select("run_id", F.col("run_id").alias("comp")))
+    names = runs.columns
+    keys = ["frame_id", "class_id", "strip"]
+    r = runs.withColumn("strip", F.floor(F.col("y") / strip).cast("bigint"))
+    dealt = r.repartition(*keys).sortWithinPartitions(*keys, "y", "x_start")
+
+    def label(held: pa.Table) -> pa.Table:
+        col = lambda c: held.column(c).to_numpy().astype(np.int64)
+        f, c, s, y, x1 = (col(n) for n in (*keys, "y", "x_start"))
+        group = np.cumsum(np.r_[True, (f[1:] != f[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
+        root = _run_roots(group, y, x1, col("x_end"))
+        return held.append_column("component_id", pa.array((y[root] << 32) + x1[root]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < LABEL_RUNS:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            k = np.column_stack([t.column(c).to_numpy().astype(np.int64) for c in keys])
+            edges = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            if len(edges):  # the last strip may go on
+                yield from label(t.slice(0, edges[-1])).to_batches()
+                held = t.slice(edges[-1]).to_batches()
+            else:
+                held = t.to_batches()
+        if sum(x.num_rows for x in held):
+            yield from label(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    schema = r.schema.simpleString()[7:-1].replace(":", " ")
+    done = dealt.mapInArrow(run, f"{schema}, component_id bigint")
+    if not runs.where(F.col("y") >= strip).take(1):
+        return done.select(*names, "component_id")
+    return _joined_strips(checkpointed(done), strip).select(*names, "component_id")
+
+
+def _joined_strips(done: DataFrame, strip: int) -> DataFrame:
+    """Components of all strips, with those that meet at a border under the smallest id."""
+    on = ["frame_id", "class_id"]
+    side = lambda e, at: done.where(F.col("y") % strip == at).select(*on, (F.col("y") + (1 if e == "a" else 0)).alias("y"), F.col("x_start").alias(f"{e}1"), F.col("x_end").alias(f"{e}2"), F.col("component_id").alias(e))
+    met = side("a", strip - 1).join(side("b", 0), [*on, "y"]).where("a1 <= b2 and b1 <= a2").select(*on, "a", "b").distinct()
+    edges = checkpointed(met.union(met.select(*on, "b", "a")))
+    label = checkpointed(edges.select(*on, F.col("a").alias("node"), F.col("a").alias("low")).distinct())
     while True:
-        near = edges.join(label.select(F.col("run_id").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("near"))
-        low = label.join(near.withColumnRenamed("u", "run_id"), "run_id", "left").select(
-            "run_id", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp")
-        )
-        jump = low.select(F.col("run_id").alias("comp"), F.col("comp").alias("far"))
-        new = checkpointed(low.join(jump, "comp", "left").select("run_id", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")))
-        moved = new.where(F.col("comp") != F.col("old")).limit(1).count()
-        label = new.select("run_id", "comp")
-        if not moved:
+        near = edges.join(label.select(*on, F.col("node").alias("b"), "low"), [*on, "b"]).groupBy(*on, F.col("a").alias("node")).agg(F.min("low").alias("near"))
+        new = label.join(near, [*on, "node"]).select(*on, "node", F.col("low").alias("old"), F.least("low", "near").alias("low"))
+        jump = new.select(*on, F.col("node").alias("low"), F.col("low").alias("far"))
+        new = checkpointed(new.join(jump, [*on, "low"], "left").select(*on, "node", "old", F.least("low", F.coalesce("far", "low")).alias("low")))
+        label = new.drop("old")
+        if not new.where("low <> old").take(1):
             break
-    return r.join(label, "run_id").drop("run_id").withColumnRenamed("comp", "component_id")
+    merged = done.join(label.withColumnRenamed("node", "component_id"), [*on, "component_id"], "left")
+    return merged.withColumn("component_id", F.coalesce("low", "component_id")).drop("low")
 
 
 def component_boxes(components: DataFrame) -> DataFrame:

@@ -114,8 +114,9 @@ def components(spark, d):
  CAST(sum(x_end-x_start+1) AS BIGINT) AS pixels, count(*) AS runs FROM comp GROUP BY frame_id, class_id, component""")
 def mask_components(spark, d):
     c = components(spark, d)
-    n = c.groupBy("component_id").agg(F.count(F.lit(1)).alias("runs"))
-    return tl.component_boxes(c).join(n, "component_id").select("frame_id", "class_id", "x_min", "y_min", "x_max", "y_max", big("pixels"), "runs")
+    on = ["frame_id", "class_id", "component_id"]
+    n = c.groupBy(*on).agg(F.count(F.lit(1)).alias("runs"))
+    return tl.component_boxes(c).join(n, on).select("frame_id", "class_id", "x_min", "y_min", "x_max", "y_max", big("pixels"), "runs")
 
 
 TILE_BOX_SQL = COMP_SQL + """, tb AS (SELECT c.frame_id, x0, class_id, component, min(greatest(x_start,x0)-x0) AS x_min, max(least(x_end,x0+63)-x0) AS x_max, min(y) AS y_min, max(y) AS y_max,
