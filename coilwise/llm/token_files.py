@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ END_ID = 1
 LIMIT = 18
 BLOCK = 1 << 16
 STEP = 256
-REMEMBER = 400_000  # pieces that a worker learns before it lets go of those not seen since it last did
+REMEMBER = 1_100_000  # pieces that a worker learns before it lets go of those not seen since it last did
 SLICE = 2 << 20
 
 _known: dict[str, dict[str, bytes]] = {}
@@ -50,7 +51,7 @@ class Tokeniser:
     """Ids of texts by a public tokenizer file; ids of words are remembered, of the words seen last.
 
     A tokenizer that drops white space treats the pieces between blanks and line ends independently, so a text's ids are
-    its pieces' ids in turn. A single full stop or comma after letters is a piece of its own. Where the file's
+    its pieces' ids in turn. ASCII marks after letters are a piece of their own. Where the file's
     tokenizer works otherwise, which a probe finds out, texts are encoded whole.
     """
 
@@ -87,8 +88,9 @@ class Tokeniser:
         """Ids of pieces, with their words encoded together: each word ends with an id that ends words."""
         known, tool = self.known, _tools[self.file]
         # letters whose lower case ends in a mark are not cut: the tokenizer joins that mark with what follows
-        cut = {p: p[:-1] for p in pieces if p[-1] in ".," and p[:-1].lower().isalpha()}
-        fresh = {p for p in (*cut.values(), ".", ",") if p not in known} | {p for p in pieces if p not in cut}
+        stems = {p: p.rstrip(punctuation) for p in pieces}
+        cut = {p: stem for p, stem in stems.items() if len(stem) < len(p) and stem.lower().isalpha()}
+        fresh = {x for p, stem in cut.items() for x in (stem, p[len(stem) :])}.difference(known) | {p for p in pieces if p not in cut}
         words = [p for p in fresh if p.lower().isalpha()]
         ids = np.array(tool.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         last = np.flatnonzero(_ends[self.file][ids]) + 1
@@ -100,7 +102,7 @@ class Tokeniser:
         for p, e in zip(rest, tool.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[p] = np.array(e.ids, "<u4").tobytes()
         for p, stem in cut.items():
-            known[p] = known[stem] + known[p[-1]]
+            known[p] = known[stem] + known[p[len(stem) :]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.file not in _apart:
