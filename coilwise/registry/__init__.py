@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("coil", "evaluation", "statistics", "calibration", "tiling", "data", "io_and_streams")
+MODULES = ("coil", "evaluation", "statistics", "calibration", "tiling", "data", "io_and_streams", "files")
 
 
 def load():
