@@ -15,6 +15,7 @@ from ..functions.geometry import dbl
 from ..functions.hashing import unit_hash
 from ..functions.stats import ratio
 from .metrics import average_precision
+from .resampling import weighted_auc, weighted_sums
 from .scale import exact_quantiles, running
 
 # ---------------------------------------------------------------- AUC
@@ -73,11 +74,8 @@ def draw_weights(spark, n: int, resamples: int, seed: str) -> DataFrame:
 
 
 def bootstrap_sums(clusters: DataFrame, cluster: str, sums: Sequence[str], resamples: int, seed: str) -> DataFrame:
-    """Resampled sums of cluster aggregates: draws meet clusters, never raw rows."""
-    idx = cluster_index(clusters, cluster)
-    n = clusters.count()  # scalar
-    d = draws(clusters.sparkSession, n, resamples, seed)
-    return d.join(idx, "idx").groupBy("b").agg(*[F.sum(c).alias(c) for c in sums])
+    """Resampled sums of cluster aggregates, by Poisson weights of the clusters (``resampling``)."""
+    return weighted_sums(clusters, cluster, sums, resamples, seed)
 
 
 def cluster_rate_interval(clusters: DataFrame, cluster: str, hits: str, size: str, resamples: int = 2000, seed: str = "boot") -> DataFrame:
@@ -128,20 +126,8 @@ def profile_bootstrap(clusters: DataFrame, hits: str, size: str, resamples: int
 
 
 def cluster_auc_draws(scores: DataFrame, cluster: str, resamples: int = 2000, seed: str = "auc", score: str = "score", label: str = "label") -> DataFrame:
-    """AUC of each resample, both arms redrawn by cluster independently.
-
-    Multiplicities ride along as weights on distinct (cluster, label, score) rows.
-    """
-    spark = scores.sparkSession
-    cells = scores.groupBy(cluster, label, score).agg(F.count(F.lit(1)).alias("n"))
-    parts = []
-    for arm in (1, 0):
-        own = cells.where((F.col(label) == 1) if arm else (F.col(label) != 1))
-        ids = cluster_index(own.select(cluster).distinct(), cluster)
-        w = draw_weights(spark, ids.count(), resamples, f"{seed}{arm}")
-        per_cluster = w.join(ids, "idx").select("b", cluster, "w")
-        parts.append(per_cluster.join(own, cluster).select("b", F.lit(arm).alias(label), score, (F.col("w") * F.col("n")).alias("w")))
-    return roc_auc(parts[0].unionByName(parts[1]), ["b"], score, label, weight="w")
+    """AUC of each resample, both arms weighed by cluster independently."""
+    return weighted_auc(scores, cluster, resamples, seed, score, label)
 
 
 def cluster_auc_interval(scores: DataFrame, cluster: str, resamples: int = 2000, seed: str = "auc") -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import domains as dm
 from ..operators import matching as m
 from ..operators import metrics as e
 from ..operators import statistics as st
+from ..operators.resampling import LIMITS
 from ..session import reuse
 from ..sources import tables as t
 from . import sql as s
@@ -32,9 +33,15 @@ def _scores(spark, d):
     )
 
 
-def _draws(resamples, seed, n):
-    u = s.unit(seed, "b || ':' || slot")
-    return f"(SELECT b, CAST(floor({u} * n) AS BIGINT) AS idx FROM (SELECT b, unnest(range(n)) AS slot, n FROM (SELECT unnest(range({resamples})) AS b, {n} AS n)))"
+RESAMPLES = 2000
+
+
+def _weights(name, clusters, col, seed):
+    """CTE of the weights above 0 of every cluster in every resample."""
+    u = "('0x' || substr(h, 1 + 8 * j, 8))::BIGINT"
+    w = " + ".join(f"(u >= {x})::INT" for x in LIMITS)
+    return f"""{name} AS MATERIALIZED (SELECT * FROM (SELECT {col}, b, {w} AS w FROM (SELECT {col}, 4 * k + j AS b, {u} AS u FROM
+ (SELECT {col}, k, md5('{seed}:' || {col} || ':' || k) AS h FROM {clusters}, (SELECT unnest(range({(RESAMPLES + 3) // 4})) AS k)), (SELECT unnest([0, 1, 2, 3]) AS j)) WHERE b < {RESAMPLES}) WHERE w > 0)"""
 
 
 @query("roc_auc_by_domain", "F3", cte("tiles") + """, x AS (SELECT domain, max_conf AS s, sum((label=1)::INT) AS p, sum((label=0)::INT) AS n FROM tiles WHERE label >= 0 GROUP BY 1, 2),
@@ -63,8 +70,7 @@ def design_effect_by_domain(spark, d):
     return st.design_effect(g, "h", "s", ["domain"]).select("domain", "n_clusters", big("n"), big("hits"), r6("rate"), r6("design_effect"))
 
 
-CLUST = cte("tiles") + """, g AS (SELECT source_id, count(*) AS s, sum((max_conf >= 0.5)::INT) AS h FROM tiles WHERE label = 0 GROUP BY 1),
-i AS (SELECT *, row_number() OVER (ORDER BY source_id) - 1 AS idx FROM g)"""
+CLUST = cte("tiles") + """, g AS (SELECT source_id, count(*) AS s, sum((max_conf >= 0.5)::INT) AS h FROM tiles WHERE label = 0 GROUP BY 1)"""
 
 
 def _clusters(spark, d):
@@ -72,12 +78,12 @@ def _clusters(spark, d):
         F.count(F.lit(1)).alias("s"), F.sum((F.col("max_conf") >= 0.5).cast("int")).alias("h")))
 
 
-@query("cluster_bootstrap_rate", "F2", CLUST + f""", q AS (SELECT b, sum(h)/greatest(sum(s), 1) AS rate FROM {_draws(200, 'boot', '(SELECT count(*) FROM g)')} JOIN i USING (idx) GROUP BY 1),
+@query("cluster_bootstrap_rate", "F2", CLUST + f""", {_weights('wt', 'g', 'source_id', 'boot')}, q AS (SELECT b, sum(w*h)/greatest(sum(w*s), 1) AS rate FROM wt JOIN g USING (source_id) GROUP BY 1),
 a AS (SELECT count(*) AS g, sum(s) AS n, sum(h) AS h, sum(h*h) AS hh, sum(h*s) AS hs, sum(s*s) AS ss FROM g), b2 AS (SELECT *, h/n AS p FROM a)
 SELECT g AS n_clusters, CAST(n AS BIGINT) AS n, CAST(h AS BIGINT) AS hits, round(p, 6) AS rate, round((hh-2*p*hs+p*p*ss)*g/((g-1)*n*n)/(p*(1-p)/n), 6) AS design_effect,
  round((SELECT quantile_cont(rate, 0.025) FROM q), 6) AS lo, round((SELECT quantile_cont(rate, 0.975) FROM q), 6) AS hi FROM b2""")
 def cluster_bootstrap_rate(spark, d):
-    out = st.cluster_rate_interval(_clusters(spark, d), "source_id", "h", "s", 200, "boot")
+    out = st.cluster_rate_interval(_clusters(spark, d), "source_id", "h", "s", RESAMPLES, "boot")
     return out.select("n_clusters", big("n"), big("hits"), r6("rate"), r6("design_effect"), r6("lo"), r6("hi"))
 
 
@@ -86,16 +92,14 @@ def cluster_bootstrap_profiles(spark, d):
     return st.profile_bootstrap(_clusters(spark, d), "h", "s", 2000)
 
 
-@query("cluster_bootstrap_auc", "F4", cte("tiles") + f""", pc AS (SELECT source_id, row_number() OVER (ORDER BY source_id) - 1 AS idx FROM (SELECT DISTINCT source_id FROM tiles WHERE label = 1)),
-nc AS (SELECT source_id, row_number() OVER (ORDER BY source_id) - 1 AS idx FROM (SELECT DISTINCT source_id FROM tiles WHERE label = 0)),
-pd AS (SELECT b, source_id FROM {_draws(40, 'auc1', '(SELECT count(*) FROM pc)')} JOIN pc USING (idx)), nd AS (SELECT b, source_id FROM {_draws(40, 'auc0', '(SELECT count(*) FROM nc)')} JOIN nc USING (idx)),
-x AS (SELECT b, s, sum(p) AS p, sum(n) AS n FROM (SELECT b, max_conf AS s, 1 AS p, 0 AS n FROM pd JOIN tiles USING (source_id) WHERE label = 1
-  UNION ALL SELECT b, max_conf, 0, 1 FROM nd JOIN tiles USING (source_id) WHERE label = 0) GROUP BY 1, 2),
+@query("cluster_bootstrap_auc", "F4", cte("tiles") + f""", cl AS (SELECT DISTINCT source_id FROM tiles WHERE label >= 0), {_weights('w1', 'cl', 'source_id', 'auc1')}, {_weights('w0', 'cl', 'source_id', 'auc0')},
+ce AS MATERIALIZED (SELECT source_id, label, max_conf AS s, count(*) AS n FROM tiles WHERE label >= 0 GROUP BY ALL),
+x AS (SELECT b, s, sum(p) AS p, sum(n) AS n FROM (SELECT b, s, n*w AS p, 0 AS n FROM ce JOIN w1 USING (source_id) WHERE label = 1 UNION ALL SELECT b, s, 0, n*w FROM ce JOIN w0 USING (source_id) WHERE label = 0) GROUP BY 1, 2),
 y AS (SELECT *, sum(n) OVER (PARTITION BY b ORDER BY s ROWS UNBOUNDED PRECEDING) AS below FROM x),
 a AS (SELECT b, sum(p*(below - n/2)) / (sum(p)*sum(n)) AS auc FROM y GROUP BY 1)
 SELECT round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a""")
 def cluster_bootstrap_auc(spark, d):
-    return st.cluster_auc_interval(_scores(spark, d), "source_id", 40).select(r6("lo"), r6("hi"))
+    return st.cluster_auc_interval(_scores(spark, d), "source_id", RESAMPLES).select(r6("lo"), r6("hi"))
 
 
 @query("paired_map_bootstrap", "F6 D10")
@@ -116,8 +120,8 @@ walk_b AS (SELECT frame_id, class_id, rn, det_id, wish[1] AS box_id, [wish[1]] A
    FROM walk_b p JOIN wishes_b w ON w.frame_id=p.frame_id AND w.class_id=p.class_id AND w.rn=p.rn+1) n),
 k AS (SELECT f.coil_id, count(*) AS labels, count(a.box_id) AS fa, count(b.box_id) AS fb FROM gt g JOIN frames f USING (frame_id)
   LEFT JOIN matches a USING (frame_id, class_id, box_id) LEFT JOIN (SELECT * FROM walk_b WHERE box_id IS NOT NULL) b USING (frame_id, class_id, box_id) GROUP BY 1),
-i AS (SELECT *, row_number() OVER (ORDER BY coil_id) - 1 AS idx FROM k),
-q AS (SELECT b, sum(fb)/sum(labels) - sum(fa)/sum(labels) AS delta FROM {_draws(100, 'contrast', '(SELECT count(*) FROM k)')} JOIN i USING (idx) GROUP BY 1)
+{_weights('wt', 'k', 'coil_id', 'contrast')},
+q AS (SELECT b, sum(w*fb)/sum(w*labels) - sum(w*fa)/sum(w*labels) AS delta FROM wt JOIN k USING (coil_id) GROUP BY 1)
 SELECT 'B' AS model, round(avg(delta), 6) AS mean_delta, round(quantile_cont(delta, 0.0125), 6) AS lo, round(quantile_cont(delta, 0.9875), 6) AS hi,
  quantile_cont(delta, 0.0125) > 0 OR quantile_cont(delta, 0.9875) < 0 AS excludes_zero FROM q""")
 def recall_contrast(spark, d):
@@ -127,7 +131,7 @@ def recall_contrast(spark, d):
     g = gts.join(a.select(*on, F.lit(1).alias("fa")), on, "left").join(b.select(*on, F.lit(1).alias("fb")), on, "left")
     k = reuse(g.join(t.frames(spark, d).select("frame_id", "coil_id"), "frame_id").groupBy("coil_id").agg(
         F.count(F.lit(1)).alias("labels"), F.count("fa").alias("fa"), F.count("fb").alias("fb")))
-    sums = st.bootstrap_sums(k, "coil_id", ["labels", "fa", "fb"], 100, "contrast")
+    sums = st.bootstrap_sums(k, "coil_id", ["labels", "fa", "fb"], RESAMPLES, "contrast")
     long = sums.select("b", F.inline(F.array(
         F.struct(F.lit("A").alias("model"), (F.col("fa") / F.col("labels")).alias("recall")),
         F.struct(F.lit("B").alias("model"), (F.col("fb") / F.col("labels")).alias("recall")))))
