@@ -10,7 +10,7 @@ and their words removed. Work is split so that each window is looked at in one s
    over word numbers (pyahocorasick), and streams the segments of all documents through it. Each match
    gives the window's first document; where that is smaller than the segment's own, the words are covered.
    Equal segments are streamed once.
-3. Covered ranges meet the whole texts again by doc_id.
+3. Covered ranges meet the whole texts again by doc_id and a 64-bit digest of the text.
 
 Words are compared as they are, hashes only choose the shard. Shards are sized from the bytes of the
 corpus to about SHARD bytes of segments, however large it is; the segments of one minimiser stay together.
@@ -25,14 +25,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import llm_query
@@ -51,6 +50,11 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").encode().split())
 
 
+def mark() -> Column:
+    """64 bits that tell rows of one doc_id apart by their texts."""
+    return F.xxhash64("text").alias("mark")
+
+
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, first word, minimiser, first byte, end byte) of each segment; bytes count over all texts joined."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -78,16 +82,16 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def pack(docs: np.ndarray, marks: np.ndarray, words: np.ndarray, minimisers: np.ndarray, texts: list[bytes]) -> bytes:
-    head = docs.astype("<i8").tobytes() + marks.astype("<u4").tobytes() + words.astype("<u4").tobytes() + minimisers.astype("<u4").tobytes()
+    head = docs.astype("<i8").tobytes() + marks.astype("<i8").tobytes() + words.astype("<u4").tobytes() + minimisers.astype("<u4").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(struct.pack("<I", len(texts)) + head + b"\n".join(texts))
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = struct.unpack_from("<I", raw)[0]
-    docs = np.frombuffer(raw, "<i8", n, 4)
-    marks, words, minimisers = (np.frombuffer(raw, "<u4", n, 4 + 8 * n + 4 * n * k) for k in range(3))
-    return docs, marks, words, minimisers, raw[4 + 20 * n :].split(b"\n") if n else []
+    docs, marks = (np.frombuffer(raw, "<i8", n, 4 + 8 * n * k) for k in range(2))
+    words, minimisers = (np.frombuffer(raw, "<u4", n, 4 + 16 * n + 4 * n * k) for k in range(2))
+    return docs, marks, words, minimisers, raw[4 + 24 * n :].split(b"\n") if n else []
 
 
 def shard_blobs(docs: DataFrame, shards: int) -> DataFrame:
@@ -108,7 +112,7 @@ def shard_blobs(docs: DataFrame, shards: int) -> DataFrame:
             own, word, m, first, end = segments(texts)
             if len(own):
                 joined = b"".join(texts)
-                marks = np.array([zlib.crc32(t) for t in texts], np.uint32)
+                marks = b.column(b.schema.get_field_index("mark")).to_numpy()
                 shard = (m % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 edges = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
@@ -123,7 +127,7 @@ def shard_blobs(docs: DataFrame, shards: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "shard int, blob binary")
+    return docs.select("doc_id", "text", mark()).mapInArrow(cut, "shard int, blob binary")
 
 
 def locate(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
@@ -153,7 +157,7 @@ def locate(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
                     recurring.add(w)
                     if low < f:
                         first[w] = low
-            streams.append((ids, places))
+            streams.append((ids, sorted(set(places))))  # rows that repeat ask the same
     if not recurring:
         return []
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -180,7 +184,7 @@ def locate(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
 
 
 def covered(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
-    """(doc_id, ranges): words to remove from each document, as (mark, first word, words)."""
+    """(doc_id, mark, ranges): words to remove from the rows of that id and digest, as (first word, words)."""
     # a segment holds about 3.5 times the words that its own windows start at
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blobs = shard_blobs(docs, max(16, int(total * 3.5 / shard_bytes)))
@@ -192,15 +196,17 @@ def covered(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
     spans_ = blobs.groupBy("shard").applyInArrow(stream, "doc_id bigint, mark bigint, word bigint, words bigint")
-    return spans_.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "word", "words")).alias("ranges"))
+    # as many ranges as one text has
+    return spans_.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("word", "words")).alias("ranges"))
 
 
 def removals(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of every document; ``kept`` is the text that stays."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranges, _ = stored(covered(docs, shard_bytes), "ranges")
-    r = ranges.withColumnRenamed("doc_id", "__doc")
-    rows = docs.select("doc_id", "text").join(r, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__doc"), "left").select("doc_id", "text", "ranges")
+
+    r = ranges.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "ranges")
+    rows = docs.select("doc_id", "text", mark()).join(r, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__doc")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", "text", "ranges")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -208,10 +214,8 @@ def removals(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
             for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 stay = np.ones(len(words), bool)
-                mark = zlib.crc32(b" ".join(words)) if own else 0
                 for x in own or ():
-                    if x["mark"] == mark:
-                        stay[x["word"] : x["word"] + x["words"]] = False
+                    stay[x["word"] : x["word"] + x["words"]] = False
                 kept = b" ".join(words if stay.all() else [w for w, s in zip(words, stay.tolist(), strict=True) if s])
                 n.append(len(words)), gone.append(int(len(words) - stay.sum())), sha.append(hashlib.sha256(kept).hexdigest()), left.append(kept.decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])

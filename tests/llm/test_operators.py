@@ -122,6 +122,16 @@ def test_repeats(docs, none, shard):
     assert repeats.removals(none).count() == 0
 
 
+def test_repeats_with_many_rows_of_one_id(spark):
+    """Rows without id and rows of one id keep their own positions; what they take comes from smaller ids alone."""
+    rng = np.random.default_rng(7)
+    parts = [" ".join(f"{k}w{i}" for i in range(20)) for k in range(6)]
+    rows = [row(1, parts[0] + " " + parts[1])] + [row(i, " ".join([f"x{j}"] * int(rng.integers(0, 4)) + [parts[k] for k in rng.integers(0, 6, 3)])) for i in (None, 5) for j in range(400)]
+    rows += [rows[-1]] * 200 + [row(None, parts[2])] * 200
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in repeats.removals(spark.createDataFrame(rows, DOCS).repartition(4)).collect())
+    assert got == sorted((str(i), n, g, hashlib.sha256(k).hexdigest()) for i, n, g, k in kept_words(rows))
+
+
 def test_notices(docs, spark, none):
     d = spark.createDataFrame([(1, "Licensed under CC BY 4.0. All Rights, Reserved!"), (2, "Lisensed under the Apache Licence, version 2.0"), (3, None), (4, "GNU General-Public  License"), (5, "accby all right reserve")], "doc_id bigint, text string")
     got = {r.doc_id: r for r in notices.scan_notices(d).collect()}
@@ -346,6 +356,32 @@ def test_archives(spark):
     assert archives.read_warc(spark, empty).count() == 0
 
 
+def test_archives_of_pages_that_repeat_an_id(spark):
+    """Thousands of rows of one page or none: one response for each payload, all others refer to it."""
+    rows = [(None if i % 3 else 7, f"u{i % 5}", f"p{i % 4}") for i in range(3000)] + [(9, "u", "p0"), (2, "u", "p3")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    folder = archives.new_folder(spark, "warc")
+    archives.convert_archives(archives.as_arc(pages), folder, file_bytes=2000)
+    got = archives.read_warc(spark, folder).collect()
+    assert len(got) == len(rows) and spark.read.format("binaryFile").load(f"{folder}/part-*").count() > 2
+    for digest in {r.payload_digest for r in got}:
+        own = [r for r in got if r.payload_digest == digest]
+        first = min((r.page_id for r in own if r.page_id is not None))
+        assert [r.page_id for r in own if r.record_type == "response"] == [first]
+        assert {r.refers_to for r in own if r.record_type == "revisit"} == {first}
+
+
+def test_revisits_name_their_response(spark):
+    pages = spark.createDataFrame([(i, "u", "same") for i in range(5)], "page_id bigint, url string, html string")
+    folder = archives.new_folder(spark, "warc")
+    archives.convert_archives(archives.as_arc(pages), folder)
+    import gzip
+    records = [f for r in spark.read.format("binaryFile").load(f"{folder}/part-*").collect() for f, _ in archives.parse_warc(gzip.decompress(r.content))]
+    ids = [f["WARC-Record-ID"] for f in records]
+    response = next(f["WARC-Record-ID"] for f in records if f["WARC-Type"] == "response")
+    assert len(set(ids)) == 5 and {f["WARC-Refers-To"] for f in records if f["WARC-Type"] == "revisit"} == {response}
+
+
 def test_arc_versions():
     for version in (1, 2):
         (fields, body), = archives.parse_arc(archives.arc_bytes(version, "http://x", b"abc\n\nd"))
