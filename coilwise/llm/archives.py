@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import llm_query
-from .shared import new_folder, slices, stored
+from .shared import in_buckets, new_folder, slices
 
 CAPTURED = "20240101000000"
+FILE_BYTES = 64 << 20
 FIELDS = {1: ("url", "address", "date", "type", "length"), 2: ("url", "address", "date", "type", "code", "checksum", "location", "offset", "file", "length")}
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 NAMES = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -78,20 +79,25 @@ def payload_of(body: bytes) -> bytes:
     return body.partition(b"\r\n\r\n")[2] if body.startswith(b"HTTP/") else body
 
 
-def warc_head(fields: dict[str, str], body: bytes, name: str, page: int | None, first: int | None, revisit: bool) -> bytes:
+def record_id(name: str, digest: str) -> str:
+    """Identifier of the record called ``name`` (page and number) with that payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {digest}')}>"
+
+
+def warc_head(fields: dict[str, str], body: bytes, name: str, page: int | None, first: int | None, revisit: bool, first_name: str) -> bytes:
     """Header and block of the WARC record, without the two line ends behind it."""
     digest, payload = sha1_name(payload_of(body)), payload_of(body)
     d = fields["date"]
     block = b"" if revisit else body
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {fields['url']} {digest}')}>",
+        f"WARC-Record-ID: {record_id(name, digest)}",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {fields['url']}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_name(block)}",
         f"X-Page-Id: {'' if page is None else page}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {'' if first is None else first}"]
+        lines += [f"WARC-Refers-To: {record_id(first_name, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {'' if first is None else first}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
@@ -123,46 +129,47 @@ def as_arc(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(make, "page_id bigint, arc binary")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, fields, body, digest, bytes) of every record of (page_id, arc)."""
     for b in slices(batches, "arc"):
-        ids, digest, size = [], [], []
+        rows = []
         for page, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for _, body in parse_arc(raw):
+            for fields, body in parse_arc(raw):
                 payload = payload_of(body)
-                ids.append(page), digest.append(sha1_name(payload)), size.append(len(payload))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digest, pa.string()), pa.array(size, pa.int64())], ["page_id", "digest", "bytes"])
+                rows.append((page, list(fields.items()), body, sha1_name(payload), len(payload)))
+        kinds = (pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["page_id", "fields", "body", "digest", "bytes"])
 
 
-def convert_archives(arcs: DataFrame, folder: str, least: int = 0) -> None:
-    """Write the WARC files of ``arcs`` (page_id, arc) to ``folder``.
+def convert_archives(arcs: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Write the WARC files of ``arcs`` (page_id, arc) to ``folder``, of about ``file_bytes`` of payload each.
 
-    Payloads of ``least`` bytes and more that are equal are written once. Only (page_id, digest, size) is
-    grouped, with partial sums, so a payload that many pages share costs no task its copies; the archives
-    themselves meet the few columns decided about them in one join by page_id.
+    Archives are parsed once; their records get numbers and are stored in buckets of those, so payloads stay
+    where they are. Payloads of ``least`` bytes and more that are equal are written once: of each digest, the
+    record with the smallest page_id and then the smallest number is the response, which partial sums
+    find. What is decided about a record meets it by its number, so neither a payload nor a page_id that
+    many records share gathers them in one task, and no task has to see them together.
     """
-    keys, path = stored(arcs.mapInArrow(_digests, "page_id bigint, digest string, bytes bigint"), "digests")
+    kept = in_buckets(arcs.mapInArrow(_records, "page_id bigint, fields map<string,string>, body binary, digest string, bytes bigint").withColumn("row", F.monotonically_increasing_id()), "row", "records")
+    keys = kept.select("row", "page_id", "digest", "bytes")
     firsts = keys.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(
-        F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("first"))
-    pages = keys.distinct().join(firsts, ["digest", "bytes"], "left").select("page_id", F.col("first.page_id").alias("first"), "digest", F.col("first").isNotNull().alias("shared"))
-    # a merge join, so rows that repeat a page lie in one task also where the table is small
-    rows = arcs.alias("a").join(pages.hint("merge").alias("p"), F.col("a.page_id").eqNullSafe(F.col("p.page_id"))).select("a.page_id", "arc", "first", "digest", "shared")
+        F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"))
+    decided = keys.join(firsts, ["digest", "bytes"], "left").select("row", F.col("first.page_id").alias("first"), F.col("first.row").alias("first_row"))
+    total, many = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = kept.join(decided, "row").select("page_id", "fields", "body", "row", "first", "first_row")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()  # rows that repeat a first page, which lie together after the join
-        for b in slices(batches, "arc"):
-            page, arc, first, digest, shared = (c.to_pylist() for c in b.columns)
-            out = []
-            for p, raw, f, d, s in zip(page, arc, first, digest, shared, strict=True):
-                for fields, body in parse_arc(raw):
-                    if sha1_name(payload_of(body)) == d:
-                        again = s and (p != f or (p, d) in seen)
-                        if s and p == f:
-                            seen.add((p, d))
-                        out.append(warc_head(fields, body, str(p), p, f, again))
+        for b in slices(batches, "body"):
+            page, fields, body, row, first, first_row = (c.to_pylist() for c in b.columns)
+            out = [
+                warc_head(dict(f), x, f"{p} {r}", p, first_page, fr is not None and fr != r, f"{first_page} {fr}")
+                for p, f, x, r, first_page, fr in zip(page, fields, body, row, first, first_row, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     records = rows.mapInArrow(convert, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(folder)
+    most = max(1, file_bytes * many // max(total, 1))
+    records.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(folder)
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:

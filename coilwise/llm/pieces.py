@@ -22,7 +22,6 @@ with a text of any length as its last.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import llm_query
-from .shared import drop, new_folder, slices, stored
+from .shared import drop, in_buckets, slices, stored
 
 MARK = "▁"
 SLICE = 16 << 20
@@ -155,14 +154,6 @@ def cut(docs: DataFrame, file: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"slice bigint, docs array<{kind}>, counts array<bigint>, refs binary, chunks array<string>")
 
 
-def in_buckets(rows: DataFrame, column: str, label: str) -> DataFrame:
-    """Write rows where they are, in buckets of a column, to the shared folder: a join by it moves the other side alone."""
-    spark, name = rows.sparkSession, f"coilwise_{label}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(buckets, column).option("compression", "zstd").option("path", new_folder(spark, label)).saveAsTable(name)
-    return spark.table(name)
-
-
 def segmented(used: DataFrame, file: str) -> DataFrame:
     """(slice, at, ids) of (slice, at, chunk); rows of a chunk follow each other, and it is encoded once."""
 
