@@ -77,12 +77,9 @@ def _pictures(spark, d):
     return at
 
 
-STEM = F.regexp_extract("path", r"([0-9]+)\.bmp$", 1).cast("bigint")
-
-
 @query("image_file_inventory", "A3", f"SELECT s_suppkey AS frame_id, CAST(54 + {SIDE} * {SIDE} * 3 AS BIGINT) AS length FROM supplier")
 def image_file_inventory(spark, d):
-    return images.image_inventory(spark, [_pictures(spark, d)]).select(STEM.alias("frame_id"), "length")
+    return images.image_inventory(spark, [_pictures(spark, d)]).select(F.regexp_extract("path", r"([0-9]+)\.bmp$", 1).cast("bigint").alias("frame_id"), "length")
 
 
 GREY_SQL = f"""WITH p AS (SELECT s_suppkey AS frame_id, (s_suppkey*31 + i*7) % 256 AS v FROM supplier, range({SIDE * SIDE}) r(i)),
