@@ -185,49 +185,50 @@ def contrasts(samples: DataFrame, config: str, value: str, reference: str, alpha
 
 # ---------------------------------------------------------------- area models
 
-def _chi_square(cells: Column, lam: Column) -> Column:
-    """Pearson statistic of the Poisson-in-area model for an array of (area, k, n) cells."""
-    def term(c: Column) -> Column:
-        p = F.least(F.greatest(1 - F.exp(-lam * c["area"]), dbl(1e-12)), dbl(1 - 1e-12))
-        hit, miss = c["n"] * p, c["n"] * (1 - p)
-        return F.pow(c["k"] - hit, 2) / hit + F.pow((c["n"] - c["k"]) - miss, 2) / miss
-    return F.aggregate(cells, dbl(0), lambda acc, c: acc + term(c))
+HALVINGS = 60
 
 
-def _best_on_grid(g: DataFrame, keys: Sequence[str], grid: Column) -> DataFrame:
-    """Evaluate the statistic on a grid of intensities, one row each, and keep the smallest."""
-    rows = g.withColumn("__lam", F.explode(grid)).withColumn("__chi", _chi_square(F.col("cells"), F.col("__lam")))
-    return rows.groupBy(*keys).agg(F.min_by("__lam", F.struct("__chi", "__lam")).alias("lam"), F.first("cells").alias("cells"))
+def _slope(cells: Column, lam: Column) -> Column:
+    """Sign-giving slope of Pearson's statistic in the intensity.
+
+    A cell of rate r has the statistic n (r - p)^2 / (p q) with q = exp(-lam area) and p = 1 - q, and the
+    slope n area (p - r) (p + r - 2 p r) / (p^2 q): it falls while p is under r and rises beyond.
+    """
+    def term(c: Column) -> Column:
+        q = F.exp(-lam * c["area"])
+        p, r = 1 - q, c["rate"]
+        return c["n"] * c["area"] * (p - r) * (p + r - 2 * p * r) / (p * p * q)
+    return F.aggregate(cells, dbl(0), lambda acc, c: acc + term(c))
 
 
 def poisson_area_fit(cells: DataFrame, keys: Sequence[str], area: str = "area", hits: str = "hits", trials: str = "trials") -> DataFrame:
-    """Fit rate = 1 - exp(-lambda * area) by minimum chi-square.
+    """Fit rate = 1 - exp(-lambda * area) by minimum chi-square: where the slope of the statistic changes its sign.
 
-    A key has one cell per crop scale (a short configured list), so its cells form a small array; the
-    grid search runs inside the row. Each refinement narrows the bracket two hundredfold.
+    Every cell by itself wants an intensity of its own, and the slope is negative below all of them and
+    positive above, so the logarithm of the bracket is halved between the smallest and the largest (with half a
+    hit and half a miss added, so that both are finite). A key has one cell per crop scale, a short
+    configured list. No hits at all give the intensity 0; ``r2`` and ``n_unsaturated`` are of the cells with misses.
     """
-    cell = F.struct(dbl(area).alias("area"), dbl(hits).alias("k"), dbl(trials).alias("n"))
-    g = cells.where((F.col(trials) > 0) & (F.col(area) > 0)).groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    y = lambda c: -F.log(F.greatest(1 - F.least(c["k"] / c["n"], dbl(1 - 1e-9)), dbl(1e-12)))
-    total = lambda f: F.aggregate("cells", dbl(0), lambda acc, c: acc + f(c))
-    seed = F.greatest(total(lambda c: c["area"] * y(c)) / F.greatest(total(lambda c: c["area"] * c["area"]), dbl(1e-30)), dbl(1e-9))
-    steps = F.sequence(F.lit(0), F.lit(3999))
-    g = _best_on_grid(g.withColumn("__seed", seed), keys, F.transform(steps, lambda i: F.col("__seed") * F.pow(dbl(10), i * dbl(6 / 3999) - 3)))
-    width = 1.5
-    for _ in range(3):
-        fine = F.transform(F.sequence(F.lit(-200), F.lit(200)), lambda i: F.col("lam") * F.pow(dbl(width), i / dbl(200)))
-        g = _best_on_grid(g, keys, fine)
-        width = width ** 0.01
-    open_cells = F.filter("cells", lambda c: c["k"] < c["n"])
-    g = g.withColumn("__u", open_cells).withColumn("n_unsaturated", F.size("__u"))
-    mean_y = F.aggregate("__u", dbl(0), lambda acc, c: acc - F.log(F.greatest(1 - c["k"] / c["n"], dbl(1e-12)))) / F.size("__u")
-    g = g.withColumn("__my", mean_y)
-    yy = lambda c: -F.log(F.greatest(1 - c["k"] / c["n"], dbl(1e-12)))
-    sst = F.aggregate("__u", dbl(0), lambda acc, c: acc + F.pow(yy(c) - F.col("__my"), 2))
-    sse = F.aggregate("__u", dbl(0), lambda acc, c: acc + F.pow(yy(c) - F.col("lam") * c["area"], 2))
-    r2 = F.when((F.col("n_unsaturated") >= 2) & (sst > 0), 1 - sse / sst)
-    observed = F.array_max(F.transform("cells", lambda c: c["k"] / c["n"]))
-    return g.withColumn("r2", r2).withColumn("observed_max", observed).drop("__u", "__my")
+    keys = list(keys)
+    k, n = dbl(hits), dbl(trials)
+    own = -F.log1p(-(k + 0.5) / (n + 1)) / dbl(area)
+    rows = cells.where((F.col(trials) > 0) & (F.col(area) > 0)).select(*keys, F.struct(dbl(area).alias("area"), (k / n).alias("rate"), n.alias("n")).alias("cell"), own.alias("own"))
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("cell")).alias("cells"), F.log(F.min("own") / 2).alias("__lo"), F.log(F.max("own") * 2).alias("__hi"))
+
+    def halved(bracket: Column, _: Column) -> Column:
+        middle = (bracket["lo"] + bracket["hi"]) / 2
+        rising = _slope(F.col("cells"), F.exp(middle)) > 0
+        return F.struct(F.when(rising, bracket["lo"]).otherwise(middle).alias("lo"), F.when(rising, middle).otherwise(bracket["hi"]).alias("hi"))
+
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(F.col("__lo").alias("lo"), F.col("__hi").alias("hi")), halved)
+    none = ~F.exists("cells", lambda c: c["rate"] > 0)
+    g = g.select(*keys, "cells", F.when(none, dbl(0)).otherwise(F.exp((at["lo"] + at["hi"]) / 2)).alias("lam"), F.array_max(F.transform("cells", lambda c: c["rate"])).alias("observed_max"))
+    y = -F.log1p(-F.col("c.rate"))
+    off = y - F.col("lam") * F.col("c.area")
+    m, spread = F.count("y"), F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / F.count("y")
+    quality = g.select(*keys, "lam", F.explode("cells").alias("c")).where("c.rate < 1").select(*keys, y.alias("y"), off.alias("off")).groupBy(*keys).agg(
+        m.cast("int").alias("n_unsaturated"), F.when((m >= 2) & (spread > 1e-15), 1 - F.sum(F.col("off") * F.col("off")) / spread).alias("r2"))
+    return g.join(quality, keys, "left").withColumn("n_unsaturated", F.coalesce("n_unsaturated", F.lit(0)))
 
 
 def extrapolate_to_frame(fit: DataFrame, frame_area: float) -> DataFrame:

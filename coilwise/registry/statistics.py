@@ -203,19 +203,46 @@ def _cells(spark, d):
         "threshold", (F.col("size") * F.col("size")).cast("double").alias("area"), F.col("alarmed").alias("hits"), F.col("n_patches").alias("trials"))
 
 
-@query("poisson_area_fit", "F8 F10")
+SLOPE = "list_sum(list_transform(cells, lambda c: c.n*c.area*((1 - exp(-exp((lo+hi)/2)*c.area)) - c.rate)*((1 - exp(-exp((lo+hi)/2)*c.area)) + c.rate - 2*(1 - exp(-exp((lo+hi)/2)*c.area))*c.rate)/((1 - exp(-exp((lo+hi)/2)*c.area))*(1 - exp(-exp((lo+hi)/2)*c.area))*exp(-exp((lo+hi)/2)*c.area))))"
+AREA_SQL = PATCH_SQL + f""", cl AS MATERIALIZED (SELECT threshold, size, CAST(size*size AS DOUBLE) AS area, sum((max_conf >= threshold)::INT)::DOUBLE AS k, count(*)::DOUBLE AS n FROM patches, {FINE} GROUP BY 1, 2),
+st AS MATERIALIZED (SELECT threshold, list({{'area': area, 'rate': k/n, 'n': n}} ORDER BY area) AS cells, ln(min(-ln(1 - (k+0.5::DOUBLE)/(n+1))/area)/2) AS lo, ln(max(-ln(1 - (k+0.5::DOUBLE)/(n+1))/area)*2) AS hi, sum(k) AS hits, max(k/n) AS observed_max FROM cl GROUP BY 1),
+bs AS (SELECT threshold, cells, lo, hi, 0 AS i FROM st UNION ALL SELECT threshold, cells, CASE WHEN {SLOPE} > 0 THEN lo ELSE (lo+hi)/2 END, CASE WHEN {SLOPE} > 0 THEN (lo+hi)/2 ELSE hi END, i + 1 FROM bs WHERE i < {st.HALVINGS}),
+ft AS MATERIALIZED (SELECT threshold, CASE WHEN hits > 0 THEN exp((b.lo+b.hi)/2) ELSE 0 END AS lam, observed_max FROM bs b JOIN st USING (threshold) WHERE i = {st.HALVINGS}),
+qu AS (SELECT threshold, count(*) AS m, sum(y*y) - sum(y)*sum(y)/count(*) AS sst, sum((y - lam*area)*(y - lam*area)) AS sse FROM (SELECT threshold, area, lam, -ln(1 - k/n) AS y FROM cl JOIN ft USING (threshold) WHERE k < n) GROUP BY 1)"""
+
+
+@query("poisson_area_fit", "F8 F10", AREA_SQL + """SELECT threshold, round(lam, 10) AS lam, round(CASE WHEN m >= 2 AND sst > 1e-15 THEN 1 - sse/sst END, 5) AS r2, CAST(coalesce(m, 0) AS INT) AS n_unsaturated,
+ round(CASE WHEN m IS NULL THEN observed_max ELSE greatest(1 - exp(-lam*40000), observed_max) END, 6) AS frame_rate, round(CASE WHEN m IS NOT NULL THEN lam*10000 END, 6) AS intensity_per_10k_px,
+ CASE WHEN m IS NULL THEN 'saturated' WHEN 1 - exp(-lam*40000) >= observed_max THEN 'fit' ELSE 'floored' END AS note FROM ft LEFT JOIN qu USING (threshold)""")
 def poisson_area_fit(spark, d):
     fit = st.extrapolate_to_frame(st.poisson_area_fit(_cells(spark, d), ["threshold"]), 40000.0)
-    return fit.select("threshold", "lam", "r2", "n_unsaturated", "frame_rate", "intensity_per_10k_px", "note")
+    return fit.select("threshold", r6("lam", digits=10), r6("r2", digits=5), "n_unsaturated", r6("frame_rate"), r6("intensity_per_10k_px"), "note")
+
+
+def _tail(x):
+    """Upper tail of chi-square with dof degrees of freedom: one minus the series of the lower gamma function."""
+    return f"greatest(0, 1 - list_sum(list_transform(range(3000), lambda i: exp((dof/2 + i)*ln({x}/2) - {x}/2 - lgamma(dof/2 + 1 + i)))))"
+
+
+FIT_TEST_SQL = AREA_SQL + f""", de AS (SELECT threshold, avg(deff) AS mean_deff FROM (SELECT size, threshold, CASE WHEN g < 2 OR h/n*(1-h/n)/n <= 0 THEN 1 ELSE (hh - 2*h/n*hs + h/n*h/n*ss)*g/((g-1)*n*n)/(h/n*(1-h/n)/n) END AS deff FROM (
+  SELECT size, threshold, count(*) AS g, sum(s)::DOUBLE AS n, sum(h)::DOUBLE AS h, sum(h*h) AS hh, sum(h*s) AS hs, sum(s*s) AS ss FROM (SELECT size, threshold, source_id, count(*) AS s, sum((max_conf >= threshold)::INT) AS h FROM patches, {FINE} GROUP BY 1, 2, 3) GROUP BY 1, 2)) GROUP BY 1),
+pc AS (SELECT c.*, least(greatest(1 - exp(-lam*area), 1e-12), 1 - 1e-12) AS pp, least(greatest(sum(k) OVER w / sum(n) OVER w, 1e-12), 1 - 1e-12) AS p0 FROM cl c JOIN ft USING (threshold) WINDOW w AS (PARTITION BY threshold)),
+ch AS (SELECT threshold, count(*) - 1 AS dof, sum((k-n*p0)*(k-n*p0)/(n*p0*(1-p0))) AS c0, sum((k-n*pp)*(k-n*pp)/(n*pp*(1-pp))) AS cp, min(least(n*p0, n*(1-p0))) >= 5 AS ok0, min(least(n*pp, n*(1-pp))) >= 5 AS okp FROM pc GROUP BY 1),
+co AS (SELECT *, c0/greatest(mean_deff, 1e-9) AS x0, cp/greatest(mean_deff, 1e-9) AS xp, ok0 AND dof > 0 AS v0, okp AND dof > 0 AS vp FROM ch JOIN de USING (threshold)),
+pv AS (SELECT *, CASE WHEN v0 THEN {_tail('x0')} END AS p0, CASE WHEN vp THEN {_tail('xp')} END AS pp FROM co)
+SELECT threshold, dof, v0 AS valid_constant, vp AS valid_poisson, CASE WHEN v0 THEN round(x0, 4) END AS chi2_constant_corrected, CASE WHEN vp THEN round(xp, 4) END AS chi2_poisson_corrected,
+ round(p0, 5) AS p_constant, round(pp, 5) AS p_poisson, CASE WHEN vp THEN pp >= 0.05 AND cp <= c0 END AS poisson_supported, round(mean_deff, 6) AS mean_deff FROM pv"""
 
 
-@query("area_model_test", "F9")
+@query("area_model_test", "F9", FIT_TEST_SQL)
 def area_model_test(spark, d):
     cells = reuse(_cells(spark, d))
     fit = st.poisson_area_fit(cells, ["threshold"])
     deff = st.design_effect(_sized(spark, d), "hits", "trials", ["scale", "threshold"])
     mean = deff.groupBy("threshold").agg(F.avg("design_effect").alias("mean_deff"))
-    return st.goodness_of_fit(cells, fit, mean, ["threshold"])
+    out = st.goodness_of_fit(cells, fit, mean, ["threshold"])
+    held = lambda kind: F.when(F.col(f"valid_{kind}"), F.round(f"chi2_{kind}_corrected", 4)).alias(f"chi2_{kind}_corrected")
+    return out.select("threshold", big("dof"), "valid_constant", "valid_poisson", held("constant"), held("poisson"), r6("p_constant", digits=5), r6("p_poisson", digits=5), "poisson_supported", r6("mean_deff"))
 
 
 def _sized(spark, d):
