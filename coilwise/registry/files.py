@@ -9,12 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions.hashing import in_holdout
+from ..operators import guards
 from ..operators import splits as sp
 from ..operators import tiling as tl
 from ..session import ensure_checkpoint_dir, reuse
 from ..sources import files, images, labels
 from ..sources import tables as t
-from .base import big, gt, query, r6
+from . import sql as sqltext
+from .base import big, det, gt, query, r6
 from .sql import cte
 from .tiling import mask_frames, runs
 
@@ -152,3 +155,39 @@ def mask_label_rederivation(spark, d):
     stored = kept.withColumn("class_id", misfiled).unionByName(kept.where("frame_id % 13 = 0"))
     n = lambda side: F.sum((F.col("side") == side).cast("bigint"))
     return sp.label_diff(stored.select(*cols), boxes).groupBy("class_id").agg(n("expected").alias("expected_only"), n("found").alias("found_only"))
+
+
+# ---------------------------------------------------------------- guards
+
+@query("aligned_models", "D10", cte("det", "det2") + """, a AS (SELECT frame_id, count(*) AS n, max(conf) AS c FROM det GROUP BY 1), b AS (SELECT frame_id, count(*) AS n, max(conf) AS c FROM det2 GROUP BY 1)
+SELECT frame_id, a.n AS boxes_a, b.n AS boxes_b, round(a.c - b.c, 6) AS confidence_gap FROM a JOIN b USING (frame_id)""")
+def aligned_models(spark, d):
+    """Both models on the frames that both have seen, one row a frame or no result at all."""
+    per = lambda model, e: det(spark, d, model).groupBy("frame_id").agg(F.count(F.lit(1)).alias(f"boxes_{e}"), F.max("conf").alias(f"conf_{e}"))
+    a, b = per("A", "a"), per("B", "b")
+    both = guards.aligned(a.join(b.select("frame_id"), "frame_id", "left_semi"), b.join(a.select("frame_id"), "frame_id", "left_semi"), ["frame_id"])
+    return both.select("frame_id", "boxes_a", "boxes_b", r6(F.col("conf_a") - F.col("conf_b"), "confidence_gap"))
+
+
+OBSERVED_SQL = cte("gt", "frames") + f""", j AS (SELECT f.*, g.box_id, g.class_id, g.x1, g.y1, g.x2, g.y2, {sqltext.unit('holdout', 'coil_id')} < 0.5 AS held, g.box_id IS NOT NULL AS boxed FROM frames f LEFT JOIN gt g USING (frame_id)), c AS (
+ SELECT 'class in the vocabulary' AS name, class_id NOT BETWEEN 0 AND 5 AS bad FROM j UNION ALL SELECT 'class of its domain', boxed AND domain = 'neu' AND class_id = 5 FROM j
+ UNION ALL SELECT 'clipped box', boxed AND (x2 > 160 OR y2 > 160) FROM j UNION ALL SELECT 'degenerate box', boxed AND (x2 - x1 < 14 OR y2 - y1 < 14) FROM j
+ UNION ALL SELECT 'background is certified', NOT boxed AND frame_id % 4 <> 0 FROM j UNION ALL SELECT 'clean frame has a box', boxed AND frame_id % 4 = 0 FROM j
+ UNION ALL SELECT 'held-out source in training', split = 'train' AND held FROM j UNION ALL SELECT 'row differs from its source', boxed AND CAST(x1 + 2*y1 + 3*x2 + 5*y2 AS BIGINT) % 1000 = 7 FROM j)
+SELECT name, count(*) FILTER (bad) = 0 AS ok, count(*) FILTER (bad) || ' of ' || count(*) AS detail FROM c GROUP BY 1"""
+
+
+@query("assertions_while_writing", "I5", OBSERVED_SQL)
+def assertions_while_writing(spark, d):
+    """Eight checks of the training table, counted in the pass that writes it; some rows are written with an error on purpose."""
+    j = t.frames(spark, d).join(gt(spark, d), "frame_id", "left")
+    boxed = F.col("box_id").isNotNull()
+    place = F.col("x1") + 2 * F.col("y1") + 3 * F.col("x2") + 5 * F.col("y2")
+    source = F.sha2(F.concat_ws(",", "box_id", "class_id", "x1", "y1", "x2", "y2"), 256)
+    j = j.withColumn("digest", source).withColumn("x1", F.when(place.cast("bigint") % 1000 == 7, F.col("x1") + 0.5).otherwise(F.col("x1")))
+    return guards.write_checked(j, _folder(spark, "training"), {
+        "class in the vocabulary": ~F.col("class_id").between(0, 5), "class of its domain": boxed & (F.col("domain") == "neu") & (F.col("class_id") == 5),
+        "clipped box": (F.col("x2") > 160) | (F.col("y2") > 160), "degenerate box": boxed & ((F.col("x2") - F.ceil(F.col("x1") - 0.5) < 14) | (F.col("y2") - F.col("y1") < 14)),
+        "background is certified": ~boxed & (F.col("frame_id") % 4 != 0), "clean frame has a box": boxed & (F.col("frame_id") % 4 == 0),
+        "held-out source in training": (F.col("split") == "train") & in_holdout("holdout", 0.5, "coil_id"), "row differs from its source": boxed & (F.col("digest") != source),
+    }, ["split"])

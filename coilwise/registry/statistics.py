@@ -231,7 +231,7 @@ ch AS (SELECT threshold, count(*) - 1 AS dof, sum((k-n*p0)*(k-n*p0)/(n*p0*(1-p0)
 co AS (SELECT *, c0/greatest(mean_deff, 1e-9) AS x0, cp/greatest(mean_deff, 1e-9) AS xp, ok0 AND dof > 0 AS v0, okp AND dof > 0 AS vp FROM ch JOIN de USING (threshold)),
 pv AS (SELECT *, CASE WHEN v0 THEN {_tail('x0')} END AS p0, CASE WHEN vp THEN {_tail('xp')} END AS pp FROM co)
 SELECT threshold, dof, v0 AS valid_constant, vp AS valid_poisson, CASE WHEN v0 THEN round(x0, 4) END AS chi2_constant_corrected, CASE WHEN vp THEN round(xp, 4) END AS chi2_poisson_corrected,
- round(p0, 5) AS p_constant, round(pp, 5) AS p_poisson, CASE WHEN vp THEN pp >= 0.05 AND cp <= c0 END AS poisson_supported, round(mean_deff, 6) AS mean_deff FROM pv"""
+ round(p0, 5) AS p_constant, round(pp, 5) AS p_poisson, coalesce(CAST(CASE WHEN vp THEN pp >= 0.05 AND cp <= c0 END AS VARCHAR), 'not valid') AS poisson_supported, round(mean_deff, 6) AS mean_deff FROM pv"""
 
 
 @query("area_model_test", "F9", FIT_TEST_SQL)
@@ -242,7 +242,7 @@ def area_model_test(spark, d):
     mean = deff.groupBy("threshold").agg(F.avg("design_effect").alias("mean_deff"))
     out = st.goodness_of_fit(cells, fit, mean, ["threshold"])
     held = lambda kind: F.when(F.col(f"valid_{kind}"), F.round(f"chi2_{kind}_corrected", 4)).alias(f"chi2_{kind}_corrected")
-    return out.select("threshold", big("dof"), "valid_constant", "valid_poisson", held("constant"), held("poisson"), r6("p_constant", digits=5), r6("p_poisson", digits=5), "poisson_supported", r6("mean_deff"))
+    return out.select("threshold", big("dof"), "valid_constant", "valid_poisson", held("constant"), held("poisson"), r6("p_constant", digits=5), r6("p_poisson", digits=5), F.coalesce(F.col("poisson_supported").cast("string"), F.lit("not valid")).alias("poisson_supported"), r6("mean_deff"))
 
 
 def _sized(spark, d):
