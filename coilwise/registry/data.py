@@ -106,6 +106,19 @@ def coil_manifest_digest(spark, d):
     return set_digest(t.frames(spark, d), ["coil_id"], "frame_id").withColumnRenamed("digest", "manifest")
 
 
+_UP = lambda digits, below: f"SELECT coil_id, substr(b, 1, {digits}) AS b, sha256(string_agg(b || x, '' ORDER BY b)) AS x, sum(n) AS n FROM {below} GROUP BY 1, 2"
+
+
+@query("coil_manifest_tree", "B15", f"""WITH h AS (SELECT DISTINCT o_custkey AS coil_id, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders),
+l6 AS (SELECT coil_id, substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS x, count(*) AS n FROM h GROUP BY 1, 2), l4 AS ({_UP(4, 'l6')}), l2 AS ({_UP(2, 'l4')}), l0 AS ({_UP(0, 'l2')})
+SELECT coil_id, x AS manifest, CAST(n AS BIGINT) AS frames FROM l0""")
+def coil_manifest_tree(spark, d):
+    """Digest of each coil's set of frames by a tree over hash prefixes, the same rule at every size."""
+    from ..sources.sinks import set_buckets, set_root
+
+    return set_root(set_buckets(t.frames(spark, d), ["coil_id"], "frame_id"), ["coil_id"]).select("coil_id", F.col("digest").alias("manifest"), big("n", "frames"))
+
+
 # ---------------------------------------------------------------- splits and checks
 
 @query("stratified_carve_out", "J1", """SELECT o_orderkey AS frame_id, CASE WHEN o_orderstatus <> 'F' THEN 'test' WHEN rn <= 300 THEN 'val' ELSE 'train' END AS split FROM (

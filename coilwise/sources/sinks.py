@@ -66,6 +66,36 @@ def set_digest(rows: DataFrame, keys: Sequence[str], item: str, per_block: int =
     return blocks.select(*keys, F.col("__d").alias("digest"))
 
 
+TREE_LEVELS = (6, 4, 2, 0)  # hex digits of an id's hash that name its bucket, from the leaves to the root
+
+
+def set_buckets(rows: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
+    """(keys, bucket, digest, n): the lowest level of the tree of each key's set of ids.
+
+    Buckets are 16^6 prefixes of the ids' own hashes, so they fill evenly whatever the ids look like, and ten
+    billion ids put some 600 in each.
+    """
+    keys = list(keys)
+    h = F.sha2(F.col(item).cast("string"), 256)
+    ids = rows.where(F.col(item).isNotNull()).select(*keys, h.alias("__h")).distinct()
+    return ids.groupBy(*keys, F.substring("__h", 1, TREE_LEVELS[0]).alias("bucket")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def set_root(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, digest, n) of each key: every node hashes its children's names and digests, at most 256 of them.
+
+    One rule at every size. Sets that share no bucket can be united by their buckets, and two sets differ in
+    the buckets under the nodes that differ.
+    """
+    keys = list(keys)
+    for digits in TREE_LEVELS[1:]:
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat(x["bucket"], x["digest"])), "")
+        up = F.substring("bucket", 1, digits) if digits else F.lit("")
+        buckets = buckets.groupBy(*keys, up.alias("__up")).agg(F.sha2(text, 256).alias("digest"), F.sum("n").alias("n")).withColumnRenamed("__up", "bucket")
+    return buckets.drop("bucket")
+
+
 def nan_to_null(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)

@@ -38,3 +38,18 @@ def test_checks_are_counted_once_while_writing(spark, tmp_path):
     got = guards.write_checked(rows, f"{tmp_path}/t", {"small": F.col("id") >= 990, "fine": F.col("id") < 0, "unknown": F.lit(None).cast("boolean")}, ["part"])
     assert sorted(map(tuple, got.collect())) == [("fine", True, "0 of 1000"), ("small", False, "10 of 1000"), ("unknown", True, "0 of 1000")]
     assert reads.value == 1000 and spark.read.parquet(f"{tmp_path}/t").count() == 1000
+
+
+def test_set_tree_is_one_rule_at_every_size(spark):
+    """Order, repeats and the way a set was put together don't matter; one id does."""
+    from coilwise.sources import sinks
+
+    ids = spark.range(5000).select(F.lit("k").alias("k"), F.concat(F.lit("frame-000000-"), F.col("id")).alias("i"))
+    root = lambda df: [(r.digest, r.n) for r in sinks.set_root(df, ["k"]).collect()]
+    whole = root(sinks.set_buckets(ids, ["k"], "i"))
+    assert whole == root(sinks.set_buckets(ids.union(ids.limit(10)).repartition(7), ["k"], "i")) and whole[0][1] == 5000
+    assert whole != root(sinks.set_buckets(ids.where("i <> 'frame-000000-77'"), ["k"], "i"))
+    buckets = sinks.set_buckets(ids, ["k"], "i").cache()
+    assert whole == root(buckets.where("bucket < '8'").union(buckets.where("bucket >= '8'")))
+    assert buckets.agg(F.max("n")).first()[0] <= 3  # ids with a common beginning spread
+    assert root(sinks.set_buckets(ids.limit(0), ["k"], "i")) == []
