@@ -40,6 +40,22 @@ def window_monitor(events: DataFrame, window: str = "1 hour", slide: str | None
     )
 
 
+RANK_ERROR = 0.0133  # normalised rank error of a KLL sketch of k = 200, at 99 percent confidence
+
+
+def window_latency(events: DataFrame, window: str = "1 hour", slide: str | None = None, delay: str = "10 minutes", share: float = 0.95) -> DataFrame:
+    """Latency quantile per line and event-time window from a mergeable KLL sketch.
+
+    The state is a sketch of a few kilobytes, however many frames a window holds. The value's rank is within
+    RANK_ERROR of ``share``. ``sketch`` may be merged over lines or windows (``kll_merge_agg_double``).
+    """
+    w = F.window("ts", window, slide) if slide else F.window("ts", window)
+    g = events.withWatermark("ts", delay).groupBy(w.alias("w"), "line_id").agg(F.count("total_ms").alias("frames"), F.expr("kll_sketch_agg_double(total_ms, 200)").alias("sketch"))
+    return g.select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "line_id", "frames",
+        F.expr(f"kll_sketch_get_quantile_double(sketch, {share}D)").alias("quantile_ms"), "sketch")
+
+
 def coil_sessions(events: DataFrame, gap: str = "2 hours", delay: str = "10 minutes") -> DataFrame:
     """A coil closes when its line is silent for the gap; counts and a verdict per closed coil."""
     n = F.count(F.lit(1))

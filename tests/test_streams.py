@@ -74,3 +74,25 @@ def test_a_batch_written_again_changes_nothing(spark, at):
     rows = table.where("coil_id = 1").collect()
     spark.createDataFrame([r[:-1] for r in rows], table.drop("batch_id").schema).write.mode("overwrite").parquet(f"{at}/closed/batch_id={rows[0].batch_id}")
     assert len(rows) == 1 and sorted(map(str, live.published(spark, f"{at}/closed").collect())) == before
+
+
+def test_latency_sketch_is_within_its_rank_error(spark, tmp_path):
+    """Streamed sketches against exact ranks, and merged over all lines of a window."""
+    from coilwise.streaming import monitor as mo
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), 1_700_000_000 + int(i) // 20, int(i) % 3, float(np.round(rng.lognormal(2, 0.7), 3))) for i in range(60_000)]
+    frames = spark.createDataFrame(rows, "seq bigint, s bigint, line_id bigint, total_ms double").select("seq", F.timestamp_seconds("s").alias("ts"), "line_id", "total_ms")
+    frames.coalesce(2).write.parquet(f"{tmp_path}/in")
+    stream = mo.window_latency(spark.readStream.schema(frames.schema).parquet(f"{tmp_path}/in"), "10 minutes", delay="1 minute")
+    mo.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    got = spark.read.parquet(f"{tmp_path}/out").cache()
+    assert got.count() >= 9
+    for r in got.collect():
+        lo, hi = r.window_start.timestamp(), r.window_end.timestamp()
+        own = np.sort([ms for _, s, line, ms in rows if line == r.line_id and lo <= s < hi])
+        assert len(own) == r.frames and abs(np.searchsorted(own, r.quantile_ms) / len(own) - 0.95) <= mo.RANK_ERROR
+        assert len(r.sketch) < 8000
+    merged = got.groupBy("window_start").agg(F.expr("kll_merge_agg_double(sketch)").alias("s"), F.min("window_end").alias("e")).select("window_start", "e", F.expr("kll_sketch_get_quantile_double(s, 0.95D)").alias("q")).first()
+    own = np.sort([ms for _, s, _, ms in rows if merged.window_start.timestamp() <= s < merged.e.timestamp()])
+    assert abs(np.searchsorted(own, merged.q) / len(own) - 0.95) <= mo.RANK_ERROR
