@@ -144,7 +144,40 @@ def proofs(docs: DataFrame) -> DataFrame:
     )
 
 
-@llm_query("op11_merkle_manifest")
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: CRC-32 bit by bit, with its reversed polynomial.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT)"""
+
+
+def _grown(name: str, nodes: str) -> str:
+    """All nodes (tree, lev, pos, n, d), and the runs of children (tree, lev, run, ds)."""
+    return f"""{name} AS (SELECT tree, 0 AS lev, pos, n, d FROM {nodes} UNION ALL SELECT tree, lev + 1, pos // {FAN}, (n + {FAN - 1}) // {FAN}, sha256(string_agg(d, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, lev, pos // {FAN}, n),
+{name}_runs AS MATERIALIZED (SELECT tree, lev, pos // {FAN} AS run, list(d ORDER BY pos) AS ds FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _walked(name: str, start: str, runs: str) -> str:
+    """Each row's way up: the siblings so far and the digest that follows from its leaf."""
+    low, high = f"array_to_string(ds[1:pos % {FAN}], '')", f"array_to_string(ds[pos % {FAN} + 2:], '')"
+    return f"""{name} AS (SELECT rid, tree, pos, 0 AS lev, proof, now FROM {start} UNION ALL
+ SELECT rid, w.tree, pos // {FAN}, w.lev + 1, proof || {low} || {high}, sha256({low} || now || {high}) FROM {name} w JOIN {runs} r ON r.tree = w.tree AND r.lev = w.lev AND r.run = w.pos // {FAN})"""
+
+
+SQL = f"""WITH RECURSIVE lf AS (SELECT doc_id, lang, sha256({_HEAD} || {_field('text')}) AS leaf, sha256({_HEAD} || {_field(f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')")}) AS other, {_CRC} % 3 = 0 AS bad FROM documents),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS rid, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, leaf AS d FROM lf),
+{_grown('lv', 'rk')}, sb AS MATERIALIZED (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, d, lev FROM lv WHERE n = 1), {_grown('rt', 'sb')},
+{_walked('wa', "(SELECT rid, tree, pos, '' AS proof, CASE WHEN coalesce(bad, false) THEN other ELSE leaf END AS now FROM rk)", 'lv_runs')},
+{_walked('wb', '(SELECT rid, 0 AS tree, sb.pos, proof, now FROM wa JOIN sb ON sb.pos = wa.tree AND sb.lev = wa.lev)', 'rt_runs')}
+SELECT doc_id, leaf, sb.d AS subroot, t.d AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = t.d AS verified
+FROM rk JOIN sb ON sb.pos = rk.tree JOIN wb USING (rid) JOIN (SELECT d, lev FROM rt WHERE n = 1) t ON t.lev = wb.lev"""
+
+
+@llm_query("op11_merkle_manifest", SQL)
 def op11_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof digest of every document, and the root folded from a leaf that may be tampered with."""
     siblings = F.array_join(F.flatten(F.transform("proof", lambda x: x["others"])), "")
