@@ -8,6 +8,7 @@ from ..functions import names as nm
 from ..functions import vocab
 from ..functions.geometry import corner_box_to_centre, dbl
 from ..functions.hashing import in_holdout
+from ..operators import census as ce
 from ..operators import capacity as cp
 from ..operators import metrics as e
 from ..operators import splits as sp
@@ -69,11 +70,9 @@ def canvas_pad_shift(spark, d):
     """Labels of a 200 px frame placed centrally on a 256 px canvas, and back."""
     n = gt(spark, d).select("class_id", ((F.col("x1") + F.col("x2")) / 400).alias("cx"), ((F.col("y1") + F.col("y2")) / 400).alias("cy"),
                             ((F.col("x2") - F.col("x1")) / 200).alias("w"), ((F.col("y2") - F.col("y1")) / 200).alias("h"))
-    p = n.withColumns({"px": (F.col("cx") * 200 + 28) / 256, "py": (F.col("cy") * 200 + 28) / 256, "pw": F.col("w") * 200 / 256, "ph": F.col("h") * 200 / 256})
-    err = F.greatest(F.abs((F.col("px") * 256 - 28) / 200 - F.col("cx")), F.abs((F.col("py") * 256 - 28) / 200 - F.col("cy")),
-                     F.abs(F.col("pw") * 256 / 200 - F.col("w")), F.abs(F.col("ph") * 256 / 200 - F.col("h")))
-    return p.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("px"), "mean_cx"), r6(F.avg("py"), "mean_cy"), r6(F.avg("pw"), "mean_w"),
-                                     r6(F.avg("ph"), "mean_h"), (F.max(err) < 1e-9).alias("round_trip_exact"))
+    return ce.canvas_shift(n, 200, 256).groupBy("class_id").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("px"), "mean_cx"), r6(F.avg("py"), "mean_cy"), r6(F.avg("pw"), "mean_w"),
+        r6(F.avg("ph"), "mean_h"), (F.max(ce.canvas_error(200, 256)) < 1e-9).alias("round_trip_exact"))
 
 
 @query("tile_box_lift", "B5", cte("det") + """SELECT frame_id, det_id, (frame_id % 3)*160 + x1 AS x1, (frame_id % 2)*160 + y1 AS y1, (frame_id % 3)*160 + x2 AS x2, (frame_id % 2)*160 + y2 AS y2 FROM det""")
@@ -84,8 +83,8 @@ def tile_box_lift(spark, d):
 
 @query("joined_label_spaces", "B13 I7", cte("gt", "det2") + """SELECT class_id, count(*) AS n FROM (SELECT class_id FROM gt UNION ALL SELECT class_id % 4 + 6 FROM det2) GROUP BY 1""")
 def joined_label_spaces(spark, d):
-    second = det(spark, d, "B").select((F.col("class_id") % 4 + 6).cast("int").alias("class_id"))
-    return gt(spark, d).select("class_id").unionByName(second).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    second = det(spark, d, "B").select((F.col("class_id") % 4).alias("class_id"))
+    return ce.join_label_spaces([(gt(spark, d).select("class_id"), 0), (second, 6)]).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("hash_holdout", "B14", f"SELECT o_orderkey AS frame_id, {s.unit('holdout', 'o_orderkey')} < 0.5 AS held, {s.unit('holdout', 'o_orderkey')} < 0.2 AS held_small FROM orders")
@@ -404,19 +403,15 @@ def training_history(spark, d):
 @query("split_census", "E28", cte("gt", "frames") + """, n AS (SELECT frame_id, count(*) AS n, """ + ", ".join(f"count(*) FILTER (class_id = {i}) AS c{i}" for i in range(6)) + """ FROM gt GROUP BY 1)
 SELECT split, count(*) AS images, count(n.n) AS labelled, count(*) - count(n.n) AS background, """ + ", ".join(f"CAST(coalesce(sum(c{i}), 0) AS BIGINT) AS class_{i}" for i in range(6)) + " FROM frames LEFT JOIN n USING (frame_id) GROUP BY 1")
 def split_census(spark, d):
-    per = gt(spark, d).groupBy("frame_id").agg(*[F.sum((F.col("class_id") == i).cast("bigint")).alias(f"class_{i}") for i in range(6)])
-    return t.frames(spark, d).join(per, "frame_id", "left").groupBy("split").agg(
-        F.count(F.lit(1)).alias("images"), F.count("class_0").alias("labelled"), (F.count(F.lit(1)) - F.count("class_0")).alias("background"),
-        *[F.coalesce(F.sum(f"class_{i}"), F.lit(0)).alias(f"class_{i}") for i in range(6)])
+    return ce.split_census(t.frames(spark, d), gt(spark, d), 6)
 
 
 @query("family_rollup", "E29", AT_SQL + """, r AS (SELECT class_id, count(*) AS n, avg(found::INT) AS recall FROM found GROUP BY 1)
 SELECT CASE WHEN class_id IN (0, 4) THEN 'texture' WHEN class_id IN (1, 3) THEN 'material' ELSE 'surface' END AS family, count(*) AS classes, CAST(sum(n) AS BIGINT) AS instances, round(avg(recall), 6) AS mean_recall FROM r GROUP BY 1""")
 def family_rollup(spark, d):
     _, found, _ = _at(spark, d)
-    r = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("found").cast("int")).alias("recall"))
-    fam = F.when(F.col("class_id").isin(0, 4), "texture").when(F.col("class_id").isin(1, 3), "material").otherwise("surface")
-    return r.groupBy(fam.alias("family")).agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("instances"), r6(F.avg("recall"), "mean_recall"))
+    out = ce.family_rollup(found, {0: "texture", 4: "texture", 1: "material", 3: "material"}, "surface")
+    return out.select("family", "classes", "instances", r6("mean_recall"))
 
 
 @query("finish_scorecard", "E30 B2", cte("frames", "gt", "det", "dim") + NAMES_SQL + """, p AS (SELECT CASE WHEN split_part(d, '_', 1) IN ('2b','ba','hl','mirror') THEN split_part(d, '_', 1) ELSE 'other' END AS finish, lower(split_part(d, '_', 2)) <> 'clean' AS defective,
@@ -445,14 +440,7 @@ SELECT model, count(*) FILTER (image_class IS NOT NULL AND pc = image_class) AS
  count(*) FILTER (image_class IS NOT NULL AND mc >= 0.15) AS defect_flagged FROM f GROUP BY 1""")
 def right_type_rates(spark, d):
     every = det(spark, d).unionByName(det(spark, d, "B"))
-    p = e.dominant(every, ["model", "frame_id"])
-    f = t.frames(spark, d).select("frame_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("model"))
-    f = f.join(e.image_class(gt(spark, d)), "frame_id", "left").join(p, ["model", "frame_id"], "left")
-    lab, clean = F.col("image_class").isNotNull(), F.col("frame_id") % 4 == 0
-    mc = F.coalesce("max_conf", dbl(0))
-    n = lambda c, name: F.sum(F.coalesce(c, F.lit(False)).cast("bigint")).alias(name)
-    return f.groupBy("model").agg(n(lab & (mc >= 0.05) & (F.col("pred_class") == F.col("image_class")), "right_type"), n(lab, "labelled"),
-                                  n(clean & (mc >= 0.15), "clean_flagged"), n(clean, "clean"), n(lab & (mc >= 0.15), "defect_flagged"))
+    return ce.right_type_rates(t.frames(spark, d).select("frame_id"), gt(spark, d), every, ["A", "B"], F.col("frame_id") % 4 == 0)
 
 
 @query("family_peak_confidence", "E32", cte("det", "gt", "dim") + """, ic AS (SELECT frame_id, arg_max(class_id, (n, a, -class_id)) AS class_id FROM (SELECT frame_id, class_id, count(*) AS n, sum((x2-x1)*(y2-y1)) AS a FROM gt GROUP BY 1, 2) GROUP BY 1),
@@ -460,25 +448,15 @@ m AS (SELECT ic.class_id, coalesce((SELECT max(conf) FROM det WHERE det.frame_id
 f AS (SELECT class_name AS family, med, low FROM dim LEFT JOIN a USING (class_id) UNION ALL SELECT 'unmeasured', NULL, NULL)
 SELECT family, round(med, 6) AS median_peak, round(low, 6) AS share_under_half, row_number() OVER (ORDER BY med DESC NULLS LAST, family) AS place FROM f""")
 def family_peak_confidence(spark, d):
-    peak = det(spark, d).groupBy("frame_id").agg(F.max("conf").alias("mc"))
-    m = reuse(e.image_class(gt(spark, d)).join(peak, "frame_id", "left").select(F.col("image_class").alias("class_id"), F.coalesce("mc", dbl(0)).alias("mc")))
-    a = exact_quantiles(m, ["class_id"], "mc", {"med": 0.5}).join(m.groupBy("class_id").agg(F.avg((F.col("mc") < 0.5).cast("double")).alias("low")), "class_id")
     fam = vocab.dim_class(spark).select("class_id", F.col("class_name").alias("family")).unionByName(spark.createDataFrame([(99, "unmeasured")], "class_id int, family string"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("med").desc_nulls_last(), "family")  # one row per class
-    return fam.join(a, "class_id", "left").select("family", r6("med", "median_peak"), r6("low", "share_under_half"), F.row_number().over(w).alias("place"))
+    return ce.family_peaks(gt(spark, d), det(spark, d), fam).select("family", r6("median_peak"), r6("share_under", "share_under_half"), "place")
 
 
 @query("best_all_correct_frame", "H4", cte("det", "gt") + """, ic AS (SELECT frame_id, arg_max(class_id, (n, a, -class_id)) AS c FROM (SELECT frame_id, class_id, count(*) AS n, sum((x2-x1)*(y2-y1)) AS a FROM gt GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT frame_id, any_value(c) AS c, count(*) AS n, bool_and(class_id = c) AS ok, avg(conf) AS score FROM det JOIN ic USING (frame_id) WHERE conf >= 0.25 GROUP BY 1)
 SELECT c AS class_id, arg_max(frame_id, (round(score, 9), -frame_id)) AS frame_id, round(max(score), 6) AS score FROM b WHERE ok AND n <= 4 GROUP BY 1""")
 def best_all_correct_frame(spark, d):
-    ic = e.image_class(gt(spark, d)).select("frame_id", "image_class")
-    b = det(spark, d).where("conf >= 0.25").join(ic, "frame_id").groupBy("frame_id", "image_class").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.col("class_id") == F.col("image_class")).alias("ok"), F.avg("conf").alias("score"))
-    best = F.struct(F.round("score", 9).alias("s"), (-F.col("frame_id")).alias("f"))
-    return b.where("ok and n <= 4").groupBy(F.col("image_class").alias("class_id")).agg(F.max_by("frame_id", best).alias("frame_id"), r6(F.max("score"), "score"))
+    return ce.best_all_correct_frames(gt(spark, d), det(spark, d)).select("class_id", "frame_id", r6("score"))
 
 
 PICKS = ((0, 4), (1, 3), (2, 5))
