@@ -10,10 +10,8 @@ from ..functions.geometry import corner_box_to_centre, dbl
 from ..functions.hashing import in_holdout
 from ..operators import census as ce
 from ..operators import capacity as cp
-from ..operators import metrics as e
 from ..operators import splits as sp
 from ..operators import tiling as tl
-from ..operators.scale import exact_quantiles
 from ..session import reuse
 from ..sources import tables as t
 from . import sql as s

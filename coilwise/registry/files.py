@@ -17,7 +17,7 @@ from ..session import ensure_checkpoint_dir, reuse
 from ..sources import files, images, labels
 from ..sources import tables as t
 from . import sql as sqltext
-from .base import big, det, gt, query, r6
+from .base import det, gt, query, r6
 from .sql import cte
 from .tiling import mask_frames, runs
 

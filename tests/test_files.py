@@ -5,7 +5,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from coilwise.sources import files, images
 
