@@ -117,8 +117,9 @@ class Tokeniser:
             _known[self.file] = self.known
         older = _older.get(self.file, {})
         new = pieces.difference(self.known)
-        self.known.update((p, older[p]) for p in new.intersection(older))
-        new.difference_update(self.known)
+        again = {p: older[p] for p in new if p in older}
+        self.known.update(again)
+        new.difference_update(again)  # never of all that is known, which would be walked through
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
