@@ -8,11 +8,16 @@ running value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reuse
+
 # Buckets per unit of log1p(|value|). 1024 gives about 700 buckets on [0, 1], 4.7k on [0, 100] and at
 # most 45k on any BIGINT, which bounds the per-key bucket table.
 BUCKETS_PER_LOG = 1024
@@ -98,6 +103,82 @@ def ordered_positions(
     return out.select(*[c for c in df.columns if c not in names], *here, *[f"{n}_total" for n in names])
 
 
+def ranked_levels(
+    df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], hits: str, lanes: int = 1, weights: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Places of the hits in the order (score desc, ties asc), for several ``lanes`` from one sort.
+
+    Lanes share rows and order and differ in what counts: bit ``i`` of ``hits`` marks a hit of lane ``i``. With
+    ``weights`` (an array of one whole number per lane) a row counts that often in a lane, and ``hits`` is 0 or 1
+    for all lanes. Rows are dealt to ranges of the whole order, so neither a hot key nor a hot score shares a task;
+    a range is counted once, in order, and hands on its hits and its totals alone.
+
+    Returns (keys, lane, k, rank, w): running hits and rows up to and with each hit and how often it counts, and
+    (keys, lane, n_rows, n_hits).
+    """
+    keys = list(keys)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = None, None  # the key of the run that is open
+        rank, k = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+        def out(cols, lane, k, rank, w, total):
+            rest = [pa.array(np.asarray(x)) for x in (lane.astype(np.int32), k, rank, w)]
+            return pa.RecordBatch.from_arrays([*cols, *rest, pa.array(np.full(len(lane), total))], [*names, "lane", "k", "rank", "w", "total"])
+
+        def totals():
+            return out([pa.concat_arrays([c] * lanes) for c in held], np.arange(lanes), k, rank, np.zeros(lanes, np.int64), True)
+
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            cols = b.columns[: len(keys) + 1]
+            names = b.schema.names[: len(cols)]
+            hit = b.column("__hits").to_numpy(zero_copy_only=False).astype(np.int64)
+            if weights:
+                w = b.column("__weights").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, lanes)
+                h = w * hit[:, None]
+            else:
+                w, h = np.ones((n, 1), np.int64), (hit[:, None] >> np.arange(lanes)) & 1
+            new = np.zeros(n, bool)
+            for i, c in enumerate(cols):
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                new[0] |= held is None or held[i][0] != c[0]
+            edges = np.flatnonzero(new)
+            for a, z in zip(np.r_[0, edges[edges > 0]], np.r_[edges[edges > 0], n]):
+                if new[a]:
+                    if held is not None:
+                        yield totals()
+                    rank, k = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+                ranks, ks = rank + np.cumsum(w[a:z], axis=0), k + np.cumsum(h[a:z], axis=0)
+                rank, k = ranks[-1], ks[-1]
+                held = [c.slice(z - 1, 1) for c in cols]
+                row, lane = np.nonzero(h[a:z])
+                if len(row):
+                    yield out([c.take(pa.array(a + row)) for c in cols], lane, ks[row, lane], ranks[row, lane], h[a:z][row, lane], False)
+        if held is not None:
+            yield totals()
+
+    if weights:
+        df = df.withColumn("__weights", F.col(weights))
+    use = df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in keys], F.lit(0)) == 0).withColumn("__hits", F.col(hits).cast("bigint"))
+    order = [*[F.col(c).asc() for c in keys], F.col(score).desc(), *[F.col(c).asc() for c in ties]]
+    dealt = use.select(*keys, score, *ties, "__hits", *(["__weights"] if weights else [])).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = dealt.select(*keys, F.spark_partition_id().alias("__range"), "__hits", *(["__weights"] if weights else []))
+    types = dict(use.dtypes)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keys] + ["__range int, lane int, k bigint, rank bigint, w bigint, total boolean"])
+    done = reuse(rows.mapInArrow(count, schema))
+    on = [*keys, "lane"]
+    # one row per range, key and lane
+    per = done.where("total").select(*on, "__range", F.col("k").alias("__k"), F.col("rank").alias("__rank"))
+    before = Window.partitionBy(*on).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*on, "__range", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in ("k", "rank")])
+    levels = done.where("not total").join(F.broadcast(offsets), [*on, "__range"]).select(
+        *on, (F.col("k") + F.col("__k")).alias("k"), (F.col("rank") + F.col("__rank")).alias("rank"), "w")
+    return levels, per.groupBy(*on).agg(F.sum("__rank").alias("n_rows"), F.sum("__k").alias("n_hits"))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
