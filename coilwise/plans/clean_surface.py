@@ -14,8 +14,8 @@ from ..session import reuse
 
 def mine_patches(frames: DataFrame, gts: DataFrame, seed: str = "clean") -> tuple[DataFrame, DataFrame]:
     """Clean and defect patches at every scale, thinned."""
-    clean = tl.thin_patches(tl.clean_positions(frames, gts), seed)
-    defect = tl.thin_patches(tl.defect_positions(frames, gts), f"{seed}-control")
+    clean = tl.clean_patches(frames, gts, seed)
+    defect = tl.defect_patches(frames, gts, f"{seed}-control")
     return clean, defect
 
 
