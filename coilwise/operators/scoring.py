@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,28 +24,30 @@ Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 def score_batches(items: DataFrame, scorer: Scorer, id_cols: Sequence[str], size_cols: Sequence[str] = ("tile_w", "tile_h"), chunk: int = 8) -> DataFrame:
     """Run a user model over items of equal size, in chunks, with the mean time per item.
 
-    Items are scored where they are, without a shuffle. Each Arrow batch is grouped by size, so an
-    answer never depends on neighbours of another size.
+    Items are scored where they are, without a shuffle. A task sorts them by size, so chunks are full, and
+    each Arrow batch is grouped by size, so an answer never depends on neighbours of another size.
     """
     ids, sizes = list(id_cols), list(size_cols)
     fields = ", ".join(f"{c} {dict(items.dtypes)[c]}" for c in ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = []
-            for _, same in pdf.groupby(sizes, sort=True):
-                for a in range(0, len(same), chunk):
-                    part = same.iloc[a:a + chunk].reset_index(drop=True)
+            found, rows, times = [], [], []
+            for _, at in pdf.groupby(sizes, sort=True).indices.items():
+                for a in range(0, len(at), chunk):
+                    part = pdf.take(at[a:a + chunk]).reset_index(drop=True)
                     t0 = time.perf_counter()
                     boxes = scorer(part)
                     ms = (time.perf_counter() - t0) * 1000 / len(part)
                     if len(boxes):
-                        out = part.loc[boxes["row_ix"], ids].reset_index(drop=True)
-                        found.append(pd.concat([out, boxes.drop(columns="row_ix").reset_index(drop=True)], axis=1).assign(ms_per_item=ms))
+                        found.append(boxes)
+                        rows.append(at[a:a + chunk][boxes["row_ix"].to_numpy()])
+                        times.append(np.full(len(boxes), ms))
             if found:  # one Arrow batch out per batch in
-                yield pd.concat(found, ignore_index=True)
+                out = pdf[ids].take(np.concatenate(rows)).reset_index(drop=True)
+                yield pd.concat([out, pd.concat(found, ignore_index=True).drop(columns="row_ix")], axis=1).assign(ms_per_item=np.concatenate(times))
 
-    return items.mapInPandas(run, f"{fields}, {BOXES}, ms_per_item double")
+    return items.sortWithinPartitions(*sizes).mapInPandas(run, f"{fields}, {BOXES}, ms_per_item double")
 
 
 def tiled_inspection(frames: DataFrame, scorer: Scorer, tile: int = 256, overlap: float = 0.2, max_iou: float = 0.45, mode: str = "auto") -> DataFrame:

@@ -267,14 +267,13 @@ def coil_close_dispositions(spark, d):
 
 def stripe_scorer(tiles: pd.DataFrame) -> pd.DataFrame:
     """Stands for a detector: reports fixed 40 px marks of the strip where they fall inside a tile."""
-    rows = []
-    for ix, (fid, x0, y0, w, h) in enumerate(zip(tiles["frame_id"], tiles["x0"], tiles["y0"], tiles["tile_w"], tiles["tile_h"])):
-        for k in range(6):
-            gx, gy = (int(fid) * 37 + k * 331) % 2000, (int(fid) * 11 + k * 53) % 360
-            if x0 <= gx and gx + 40 <= x0 + w and y0 <= gy and gy + 40 <= y0 + h:
-                rows.append((ix, k, 0.2 + ((int(fid) + k * 7) % 80) / 100, float(gx - x0), float(gy - y0), float(gx - x0 + 40), float(gy - y0 + 40)))
-    out = pd.DataFrame(rows, columns=["row_ix", "class_id", "conf", "x1", "y1", "x2", "y2"])
-    return out.astype({"row_ix": np.int64, "class_id": np.int32, "conf": float, "x1": float, "y1": float, "x2": float, "y2": float})
+    fid, x0, y0, w, h = (tiles[c].to_numpy(np.int64)[:, None] for c in ("frame_id", "x0", "y0", "tile_w", "tile_h"))
+    k = np.arange(6)
+    gx, gy = (fid * 37 + k * 331) % 2000, (fid * 11 + k * 53) % 360
+    row, mark = np.nonzero((x0 <= gx) & (gx + 40 <= x0 + w) & (y0 <= gy) & (gy + 40 <= y0 + h))
+    x, y = ((g - o)[row, mark].astype(float) for g, o in ((gx, x0), (gy, y0)))
+    conf = 0.2 + ((fid + k * 7) % 80)[row, mark] / 100
+    return pd.DataFrame({"row_ix": row, "class_id": mark.astype(np.int32), "conf": conf, "x1": x, "y1": y, "x2": x + 40, "y2": y + 40})
 
 
 def _one_axis(ext):
