@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 from math import ceil, exp, factorial
 
 import numpy as np
@@ -22,13 +23,21 @@ from pyspark.sql import functions as F
 
 #: Weight k or less has a chance of LIMITS[k] / 2^32.
 LIMITS = [int(2**32 * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(12)]
+_STEPS = np.array(LIMITS, np.int64)
 KNOWN = 16_384  # clusters whose weights a task keeps
+SCORES = 4096  # distinct scores up to which a task sums the weights of its clusters by score
 
 
 def weights(cluster, resamples: int, seed: str) -> np.ndarray:
     """How often the cluster counts in each resample."""
-    drawn = b"".join(hashlib.md5(f"{seed}:{cluster}:{k}".encode()).digest() for k in range(ceil(resamples / 4)))
-    return np.searchsorted(LIMITS, np.frombuffer(drawn, ">u4")[:resamples].astype(np.int64), "right").astype(np.uint8)
+    head, md5 = f"{seed}:{cluster}:".encode(), hashlib.md5
+    drawn = b"".join([md5(head + k).digest() for k in _blocks(ceil(resamples / 4))])
+    return np.searchsorted(_STEPS, np.frombuffer(drawn, ">u4")[:resamples].astype(np.int64), "right").astype(np.uint8)
+
+
+@cache
+def _blocks(n: int) -> list[bytes]:
+    return [b"%d" % k for k in range(n)]
 
 
 class Drawn(dict):
@@ -64,10 +73,33 @@ def weighted_auc(scores: DataFrame, cluster: str, resamples: int, seed: str, sco
     Cells (cluster, label, score) are dealt to ranges of the score. A range is read once in order and gives
     three vectors: its positives, its negatives, and the pairs that its positives win inside it. The
     negatives of lower ranges are added when the ranges come together. Null scores don't count.
+
+    With up to ``SCORES`` distinct scores, cells are first dealt by cluster, so that a cluster is drawn once and not
+    by every range it meets; a task hands on one vector per label and score.
     """
     spark = scores.sparkSession
     hit = F.when(F.col(label) == 1, 1).otherwise(0)
-    cells = scores.where(F.col(score).isNotNull()).groupBy(F.col(cluster).cast("string").alias("c"), hit.alias("hit"), F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    rows = scores.where(F.col(score).isNotNull()).select(F.col(cluster).cast("string").alias("c"), hit.alias("hit"), F.col(score).cast("double").alias("s"))
+    few = rows.select("s").distinct().limit(SCORES + 1).count() <= SCORES
+    tasks = 2 * spark.sparkContext.defaultParallelism  # few bytes, much work: not left to the size of partitions
+    cells = (rows.repartition(tasks, "c") if few else rows).groupBy("c", "hit", "s").agg(F.count(F.lit(1)).alias("n"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, now, drawn = {}, None, {}
+        for b in batches:
+            for c, arm, s, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if c != now:
+                    now, drawn = c, {}
+                if arm not in drawn:
+                    drawn[arm] = weights(c, resamples, f"{seed}{arm}")
+                if (s, arm) not in sums:
+                    sums[s, arm] = np.zeros(resamples, np.int64)
+                sums[s, arm] += drawn[arm] if n == 1 else n * drawn[arm].astype(np.int64)
+        for (s, arm), v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()]), pa.array([arm], pa.int32()), pa.array([s]), pa.array([1])], ["c", "hit", "s", "n"])
+
+    if few:
+        cells = cells.sortWithinPartitions("c").mapInArrow(add, "c binary, hit int, s double, n bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = [Drawn(resamples, f"{seed}{arm}") for arm in (0, 1)]
@@ -81,7 +113,7 @@ def weighted_auc(scores: DataFrame, cluster: str, resamples: int, seed: str, sco
                     pos += here[1]
                     here[:] = 0
                     first, now = s if first is None else first, s
-                here[arm] += n * drawn[arm][c].astype(np.int64)
+                here[arm] += np.frombuffer(c, np.int64) if few else n * drawn[arm][c].astype(np.int64)
         won += here[1] * (2 * below + here[0])
         if first is not None:
             cols = [np.full(resamples, first), np.arange(resamples), pos + here[1], below + here[0], won]

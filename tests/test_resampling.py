@@ -47,3 +47,13 @@ def test_interval_covers_what_draws_with_replacement_cover(spark):
     h = np.array([x[1] for x in data])
     plain = [h[rng.integers(0, 200, 200)].sum() / 800 for _ in range(4000)]
     assert r.lo == pytest.approx(np.quantile(plain, 0.025), abs=0.012) and r.hi == pytest.approx(np.quantile(plain, 0.975), abs=0.012)
+
+
+def test_auc_draws_a_cluster_once_and_is_the_same_by_cells(spark, monkeypatch):
+    """Sums by score give what cells in ranges give, with scores that fall on both sides of the limit."""
+    rng = np.random.default_rng(5)
+    rows = [(int(c), float(np.round(rng.random(), 2)), int(rng.random() < 0.4)) for c in range(60) for _ in range(4)]
+    df = spark.createDataFrame(rows, "c bigint, score double, label int")
+    by_score = sorted(rs.weighted_auc(df, "c", 30, "t").collect())
+    monkeypatch.setattr(rs, "SCORES", 3)
+    assert by_score == sorted(rs.weighted_auc(df, "c", 30, "t").collect()) and len(by_score) == 30
