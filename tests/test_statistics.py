@@ -149,3 +149,15 @@ def test_recommendation_rules(spark):
     low = e.recommend_threshold(pts, floor=0.99).first()
     assert not low["floor_met"] and low["threshold"] == 0.1
     assert e.recommend_threshold(pts, ratio_=3.0).first()["floor_binding"]
+
+
+def test_lanes_of_one_ranking_equal_single_ones(spark):
+    """Hits of several lanes, ranked together, give the AP that each has by itself; equal scores included."""
+    rng = np.random.default_rng(12)
+    rows = [(int(rng.integers(2)), i, 7 * i, float(np.round(rng.random(), 1)), int(rng.integers(8))) for i in range(300)]
+    df = spark.createDataFrame(rows, "class_id int, frame_id bigint, det_id bigint, conf double, bits int").repartition(5)
+    n = spark.createDataFrame([(0, 200), (1, 170)], "class_id int, n_labels bigint")
+    got = {(r.class_id, r.lane): r.ap for r in e.lane_precision(df, n, ("class_id",), "conf", ("frame_id", "det_id"), "bits", 3).collect()}
+    for lane in range(3):
+        single = e.average_precision(df.withColumn("is_tp", F.col("bits").bitwiseAND(1 << lane) > 0), n)
+        assert {(r.class_id, lane): pytest.approx(r.ap) for r in single.collect()} == {k: v for k, v in got.items() if k[1] == lane}
