@@ -96,3 +96,12 @@ def test_latency_sketch_is_within_its_rank_error(spark, tmp_path):
     merged = got.groupBy("window_start").agg(F.expr("kll_merge_agg_double(sketch)").alias("s"), F.min("window_end").alias("e")).select("window_start", "e", F.expr("kll_sketch_get_quantile_double(s, 0.95D)").alias("q")).first()
     own = np.sort([ms for _, s, _, ms in rows if merged.window_start.timestamp() <= s < merged.e.timestamp()])
     assert abs(np.searchsorted(own, merged.q) / len(own) - 0.95) <= mo.RANK_ERROR
+
+
+def test_silence_parts_runs_within_one_batch(spark, at):
+    """A coil that runs again after a silence has two rows also where both runs arrive together; p95 is that of each run."""
+    rows = [frame(7, i, i, float(i)) for i in range(40)] + [frame(7, 100 + i, 3 * HOUR + i) for i in range(5)]
+    run(spark, at, rows + [frame(8, 900, 9 * HOUR)])
+    runs = live.published(spark, f"{at}/closed").where("coil_id = 7").orderBy("opened").collect()
+    assert [(r.total_frames, r.defect_frames, r.disposition) for r in runs] == [(40, 39, "HOLD"), (5, 0, "ACCEPT")]
+    assert runs[0].p95_severity == pytest.approx(np.quantile(range(40), 0.95)) and runs[1].p95_severity == 0
