@@ -40,11 +40,13 @@ def grid_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], pa: str, pb: str
     The grid cell is part of the join key, so a crowded group spreads over many tasks. A pair is
     emitted only in the cell holding the corner of its intersection, hence exactly once.
     """
-    left, right = grid_cells(a, pa, cell), grid_cells(b, pb, cell)
+    on = [*keys, "cell_x", "cell_y"]
+    # dealt by cell, also where the sides are dealt by group already
+    left, right = (grid_cells(df, p, cell).repartition(*on) for df, p in ((a, pa), (b, pb)))
     home = (F.col("cell_x") == F.floor(F.greatest(f"{pa}x1", f"{pb}x1") / cell)) & (
         F.col("cell_y") == F.floor(F.greatest(f"{pa}y1", f"{pb}y1") / cell)
     )
-    return left.join(right, [*keys, "cell_x", "cell_y"]).where(home & overlaps(pa, pb)).drop("cell_x", "cell_y")
+    return left.join(right, on).where(home & overlaps(pa, pb)).drop("cell_x", "cell_y")
 
 
 def crowded_groups(sides: Sequence[DataFrame], keys: Sequence[str], limit: int) -> DataFrame:

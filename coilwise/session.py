@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -23,6 +24,17 @@ def builder(app: str = "coilwise") -> SparkSession.Builder:
     return b
 
 
+def by_frame(df: DataFrame) -> DataFrame:
+    """Rows dealt by ``frame_id`` to a fixed number of tasks, the same for every table.
+
+    Sides dealt this way meet on frame_id and any further keys without a shuffle of their own. Steps that have to
+    spread a crowded frame deal its rows again.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame_id")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder named by the session; a scratch folder only in local mode."""
     sc = spark.sparkContext

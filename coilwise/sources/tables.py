@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import split_by_hash
 from ..functions.geometry import dbl
 from ..operators.scale import running
+from ..session import by_frame
 
 SPLIT_CUTS = {"train": 0.8, "val": 0.9, "test": 1.0}
 
@@ -24,14 +25,18 @@ def _pct(col: str) -> Column:
 
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct line rows as integers; (orderkey, linenumber) alone is not unique."""
+    """Distinct line rows as integers; (orderkey, linenumber) alone is not unique.
+
+    Rows are dealt by frame, once (``by_frame``): all that is done per frame or per frame and class afterwards stays in
+    its task.
+    """
     rows = read(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").cast("bigint").alias("ln"),
         F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
         F.col("l_quantity").cast("bigint").alias("q"), _pct("l_discount").alias("d"), _pct("l_tax").alias("tx"),
         F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"),
     )
-    return rows.distinct()
+    return by_frame(rows).distinct()
 
 
 def _geometry(df: DataFrame) -> DataFrame:

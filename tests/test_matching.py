@@ -99,3 +99,17 @@ def test_empty_inputs_keep_schema(crowd):
     none = d.where("false")
     assert m.greedy_match(none, g).count() == 0
     assert m.nms(none).columns == d.select("frame_id", "class_id", *[c for c in d.columns if c not in KEYS]).columns
+
+
+def test_rows_dealt_by_frame_are_matched_where_they_lie(spark, sf):
+    """Claims, flags and counts of labels need no shuffle beyond the one by frame that the tables bring."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dets, gts = t.detections(spark, sf), t.gt_boxes(spark, sf)
+        hits = m.greedy_match(dets, gts)
+        for df in (hits, m.flag_matches(dets, hits), m.flag_found(gts, hits), m.crowded_groups([dets, gts], KEYS, 300).groupBy(*KEYS).count()):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan.replace("Exchange SinglePartition, ENSURE_REQUIREMENTS", "")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
