@@ -211,9 +211,8 @@ def frame_export(results: DataFrame, model: str, conf: float, iou: float, calibr
 def detection_export(scored: DataFrame, mm_per_px: float = 0.5, calibrated: Column | None = None) -> DataFrame:
     """One row per box with millimetre fields; boxes numbered by confidence inside their frame."""
     size = physical_size(mm_per_px)
-    numbered = running(
-        scored.withColumn("__one", F.lit(1)), ["frame_id"], ["conf", "det_id"], {"detection": ("__one", "sum")}, descending=True
-    )
+    order = Window.partitionBy("frame_id").orderBy(F.col("conf").desc(), F.col("det_id").asc())
+    numbered = scored.withColumn("detection", F.row_number().over(order))  # one sort, which spills where a frame is crowded
     return numbered.select(
         F.col("frame_id").alias("frame"), F.col("detection").cast("bigint").alias("detection"), "class_id",
         F.col("class_name").alias("defect"),

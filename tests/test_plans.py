@@ -31,3 +31,18 @@ def test_coil_report(spark, sf, tmp_path):
     rep.write(str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report" / "coils")).count() == rep.coils.count()
     assert spark.read.parquet(str(tmp_path / "report" / "frames")).count() == t.frames(spark, sf).count()
+
+
+def test_detections_are_numbered_in_one_sort(spark):
+    """Numbers follow confidence, then id; rows are sorted once and not totalled, also where one frame holds most of them."""
+    from coilwise.operators import coil as op
+
+    rows = [(i % 40 and 1, i, 0.01 * (i * 7 % 50)) for i in range(2000)]
+    boxes = spark.createDataFrame(rows, "frame_id bigint, det_id bigint, conf double").selectExpr(
+        "*", "0 AS class_id", "'patches' AS class_name", "'low' AS band", "1D AS x1", "1D AS y1", "9D AS x2", "9D AS y2", "64D AS area_px", "0.1D AS area_frac")
+    out = op.detection_export(boxes)
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.frame, r.detection): r.confidence for r in out.collect()}
+    for f in (0, 1):
+        want = sorted((-c, i) for k, i, c in rows if k == f)
+        assert [got[f, n + 1] for n in range(len(want))] == [round(-c, 4) for c, _ in want]
