@@ -161,3 +161,16 @@ def test_lanes_of_one_ranking_equal_single_ones(spark):
     for lane in range(3):
         single = e.average_precision(df.withColumn("is_tp", F.col("bits").bitwiseAND(1 << lane) > 0), n)
         assert {(r.class_id, lane): pytest.approx(r.ap) for r in single.collect()} == {k: v for k, v in got.items() if k[1] == lane}
+
+
+def test_contrasts_read_their_resamples_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(b, c, b / 10 + (c == "B")) for b in range(40) for c in "AB"], "b int, c string, v double").coalesce(1)
+    got = st.contrasts(rows.mapInArrow(count, "b int, c string, v double"), "c", "v", "A").first()
+    assert got["mean_delta"] == pytest.approx(1) and got["excludes_zero"] and seen.value == 80
