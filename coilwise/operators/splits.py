@@ -181,10 +181,13 @@ def first_occurrence(rows: DataFrame, digest: str, order: Sequence[str]) -> Data
 
 
 def label_diff(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows on one side only, duplicates counted."""
+    """Rows on one side only, duplicates counted. Both sides are read and totalled once."""
     cols = expected.columns
-    return expected.exceptAll(found.select(cols)).withColumn("side", F.lit("expected")).unionByName(
-        found.select(cols).exceptAll(expected).withColumn("side", F.lit("found")))
+    both = expected.withColumn("__n", F.lit(1)).union(found.select(*cols, F.lit(-1).alias("__n")))
+    n = F.col("__n")
+    odd = both.groupBy(*cols).agg(F.sum("__n").alias("__n")).where(n != 0)
+    copies = odd.withColumn("side", F.when(n > 0, "expected").otherwise("found")).withColumn("__i", F.explode(F.sequence(F.lit(1), F.abs(n))))
+    return copies.select(*cols, "side")
 
 
 def assertions(checks: Sequence[tuple[str, DataFrame]]) -> DataFrame:

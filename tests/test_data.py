@@ -218,3 +218,19 @@ def test_set_digest_levels(spark):
     assert got[0] == sha(sha(sha("0\n2") + "\n" + sha("4\n6")) + "\n" + sha("8"))
     whole = {r.k: r.digest for r in sinks.set_digest(ids, ["k"], "i").collect()}
     assert whole[1] == sha("1\n3\n5\n7\n9")
+
+
+def test_label_diff_counts_copies_and_reads_each_side_once(spark):
+    from coilwise.operators import splits as sp
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    side = lambda rows: spark.createDataFrame(rows, "k bigint, x double").coalesce(1).mapInArrow(count, "k bigint, x double")
+    got = sp.label_diff(side([(1, 1.0)] * 3 + [(2, None), (3, 0.0)]), side([(1, 1.0)] + [(2, None), (4, 2.0), (4, 2.0)]))
+    assert sorted(map(tuple, got.collect())) == [(1, 1.0, "expected")] * 2 + [(3, 0.0, "expected")] + [(4, 2.0, "found")] * 2
+    assert seen.value == 9
