@@ -99,7 +99,7 @@ def image_file_grey_levels(spark, d):
 @query("image_file_lut", "K6 A5", GREY_SQL.replace("FROM p)", "FROM (SELECT frame_id, 255 - v AS v, 255 - (v*3 % 256) AS v3, 255 - (v*5 % 256) AS v5 FROM p))").replace("(v*3 % 256)*9617 + (v*5 % 256)*1868", "v3*9617 + v5*1868") + "SELECT frame_id, level, count(*) AS n FROM g GROUP BY 1, 2")
 def image_file_lut(spark, d):
     """The negative of every picture, by a level table of its own, to grey level counts."""
-    img = images.read_images(spark, f"{_pictures(spark, d)}/*.bmp")
+    img = reuse(images.read_images(spark, f"{_pictures(spark, d)}/*.bmp"))  # tables and pixels come from one read of the files
     luts = img.select("origin", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: 255 - i).alias("lut"))
     h = images.pixel_histograms(images.apply_lut_to_pixels(img, luts))
     return h.select(F.regexp_extract("origin", r"([0-9]+)\.bmp$", 1).cast("bigint").alias("frame_id"), "level", "n")

@@ -51,3 +51,10 @@ def test_masks_round_trip_and_quarantine(spark):
 ])
 def test_label_line_faults(spark, line, fault):
     assert files.label_line_faults(spark.createDataFrame([(line,)], "line string"), 6).first()["fault"] == fault
+
+
+def test_pictures_are_read_once_for_their_tables_and_pixels(spark, sf):
+    from coilwise.registry.files import image_file_lut
+
+    plan = image_file_lut(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 2  # the same stored rows on both sides of the join
