@@ -16,6 +16,7 @@ from ..session import ensure_checkpoint_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"  # whole texts are large rows
+HEAP = 0.4
 _forget: dict[str, Callable[[], None]] = {}
 
 
@@ -34,6 +35,17 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/coilwise-llm/{label}-{uuid.uuid4().hex}"
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Let the driver give back what the queries before have left, once that fills HEAP of its heap.
+
+    Operators of many short queries would otherwise grow the heap to its limit, far above what lives in it.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > HEAP * heap.maxMemory():
+        spark._jvm.System.gc()
+        pa.default_memory_pool().release_unused()
+
+
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it again: lineage ends there and its shuffle files go.
 
@@ -41,6 +53,7 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     lazy reads it any more.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    _tidy(spark)
     with _setting(spark, CLEANUP, "true"), _setting(spark, BATCH, "1000"):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

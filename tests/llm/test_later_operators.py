@@ -187,3 +187,17 @@ def test_one_error_in_either_half():
     assert got == want
     twice = [(i, j) for side in (0, 1) for a, b in variants.near_pairs(["aaaaaaa", "aaaaaaaa"], ["aaaaaaa", "aaaaaaaa"], side) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
     assert sorted(twice) == [(0, 1), (1, 0)]
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    from coilwise.llm import shared
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    monkeypatch.setattr(shared, "HEAP", 2.0)
+    shared.stored(spark.range(3), "tidy")
+    assert full() == before
+    monkeypatch.setattr(shared, "HEAP", 0.0)
+    shared.stored(spark.range(3), "tidy")
+    assert full() > before
