@@ -59,14 +59,14 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def canonical(text: Column) -> Column:
+def canonical(typed: Column) -> Column:
     """The text with typed placeholders, token by token in the place of the raw ones."""
-    return _tokens(F.regexp_replace(_typed(_even(text)), r"(?<=[\p{Ll}" + UNIT + r"],? )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME))
+    return _tokens(F.regexp_replace(typed, r"(?<=[\p{Ll}" + UNIT + r"],? )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME))
 
 
-def capitals(text: Column) -> Column:
+def capitals(typed: Column) -> Column:
     """As ``canonical``, with every capitalised word a NAME, after a sentence end too."""
-    return _tokens(F.regexp_replace(_typed(text), r"(?<![\p{L}\p{M}])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME))
+    return _tokens(F.regexp_replace(typed, r"(?<![\p{L}\p{M}])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME))
 
 
 def literal(text: Column) -> Column:
@@ -79,7 +79,19 @@ def is_slot(token: Column) -> Column:
 
 
 def _forms(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, literal(F.col("text")).alias("raw"), canonical(F.col("text")).alias("tokens"), capitals(F.col("text")).alias("caps")).where(F.size("raw") > 0)
+    """(keys, raw, tokens, caps, and the hash of each of their tokens) of the texts that have tokens."""
+    forms = ("raw", "tokens", "caps")
+    df = df.select(*keys, "text", _typed(_even(F.col("text"))).alias("typed"))
+    df = df.select(*keys, literal(F.col("text")).alias("raw"), canonical(F.col("typed")).alias("tokens"), capitals(F.col("typed")).alias("caps"))
+    df = df.select("*", *[F.transform(f, lambda x: F.xxhash64(x)).alias(f"{f}_hashes") for f in forms])
+    # exploded, since conditions on a list would otherwise be moved down to the text and make the list once more
+    one = F.explode(F.array(F.struct(*forms, *[f"{f}_hashes" for f in forms]))).alias("form")
+    return df.select(*keys, one).select(*keys, "form.*").where(F.size("raw") > 0)
+
+
+def _of_few_tokens(df: DataFrame) -> DataFrame:
+    """The rows whose text has under WINDOW tokens; most texts have more in their first 400 letters, which a cut adds none to."""
+    return df.where((F.size(_tokens(F.substring("text", 1, 400))) < WINDOW) & (F.size(literal(F.col("text"))) < WINDOW))
 
 
 def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
@@ -89,7 +101,7 @@ def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _hash(form: str) -> Column:
-    return F.xxhash64(F.slice(form, F.col("at") + 1, F.col("len")))
+    return F.xxhash64("len", *[F.when(F.col("len") > j, F.get(f"{form}_hashes", F.col("at") + j)) for j in range(WINDOW)])
 
 
 def _text(form: str) -> Column:
@@ -171,7 +183,7 @@ def _found(docs: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
 
     runs = runs.select(*keys, "item_id", F.when(counts("plain"), F.col("plain")).when(counts("starts"), F.col("starts")).alias("run")).where("run IS NOT NULL").select(*keys, "item_id", "run.*")
 
-    whole = d.where(F.size("raw") < WINDOW).select(*keys, F.array_join("tokens", " ").alias("window"), F.col("raw").alias("doc_raw"))
+    whole = _forms(_of_few_tokens(docs), *keys).select(*keys, F.array_join("tokens", " ").alias("window"), F.col("raw").alias("doc_raw"))
     zipped = F.zip_with(F.arrays_zip("tokens", "raw"), "doc_raw", lambda i, r: F.struct(i["tokens"].alias("type"), i["raw"].alias("item"), r.alias("doc")))
     # what has a window of its own is found above
     few = (F.size("raw") < LITERALS) | ((F.size(F.filter("tokens", is_slot)) > F.size("raw") - LITERALS) & (F.col("raw") != F.col("doc_raw")))

@@ -396,3 +396,20 @@ def test_pipeline(spark, sf):
         kept = stage(spark, docs, sf)
         assert kept.columns == docs.columns, name
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_template_forms_are_made_once(spark):
+    texts = spark.createDataFrame([(1, "Walk 5\n  km to Oslo and then 1.5 miles back home. Oslo is far")], "doc_id long, text string")
+    windows = templates._windows(templates._forms(texts, "doc_id"), [8])
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    # a condition on a list, moved down to the text, would make the list again
+    assert plan.count("regexp_extract_all") == 3
+    row = windows.where("at = 0").first()
+    assert row.raw == ["walk", "5", "km", "to", "oslo", "and", "then", "1.5", "miles", "back", "home", "oslo", "is", "far"]
+    assert row.tokens[:5] == ["walk", "0", "ℚ", "to", "ℕ"] and row.caps[:5] == ["ℕ", "0", "ℚ", "to", "ℕ"]
+
+
+def test_texts_of_few_tokens(spark):
+    texts = ["", None, "a b c d e f g", "a b c d e f g h", "-" * 500 + " a b c d e f g h", "-" * 500 + " a b c", "x" * 600 + " b c d e f g", "1.5 " * 8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted(r.doc_id for r in templates._of_few_tokens(df).collect()) == [0, 2, 5, 6]
