@@ -34,7 +34,7 @@ from .shared import drop, keeps, new_folder, slices, stored
 
 END_ID = 1
 LIMIT = 18
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 STEP = 256
 REMEMBER = 1_100_000  # pieces that a worker learns before it lets go of those not seen since it last did
 SLICE = 2 << 20
@@ -86,21 +86,27 @@ class Tokeniser:
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces, with their words encoded together: each word ends with an id that ends words."""
-        known, tool = self.known, _tools[self.file]
-        # letters whose lower case ends in a mark are not cut: the tokenizer joins that mark with what follows
-        stems = {p: p.rstrip(punctuation) for p in pieces}
-        cut = {p: stem for p, stem in stems.items() if len(stem) < len(p) and stem.lower().isalpha()}
-        fresh = {x for p, stem in cut.items() for x in (stem, p[len(stem) :])}.difference(known) | {p for p in pieces if p not in cut}
-        words = [p for p in fresh if p.lower().isalpha()]
-        ids = np.array(tool.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        last = np.flatnonzero(_ends[self.file][ids]) + 1
+        known, cut, words, rest = self.known, {}, set(), []
+        for p in pieces:
+            stem = p.rstrip(punctuation)
+            # letters whose lower case ends in a mark are not cut: the tokenizer joins that mark with what follows
+            if not (stem.isalpha() and (stem.isascii() or stem.lower().isalpha())):
+                rest.append(p)
+            else:
+                if len(stem) < len(p):
+                    cut[p] = stem
+                if stem not in known:
+                    words.add(stem)
+        rest.extend({p[len(stem) :] for p, stem in cut.items()}.difference(known, rest))
+        words = list(words)
+        ids = self._whole([" ".join(words)])[0]
+        last = np.flatnonzero(_ends[self.file][np.frombuffer(ids, "<u4")]) + 1
         if len(last) == len(words):
-            known.update(zip(words, map(bytes, np.split(ids, last)), strict=False))
+            ends = (4 * last).tolist()
+            known.update(zip(words, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=False))
         else:
-            words = []
-        rest = list(fresh.difference(words))
-        for p, e in zip(rest, tool.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
+            rest += words
+        known.update(zip(rest, self._whole(rest), strict=True))
         for p, stem in cut.items():
             known[p] = known[stem] + known[p[len(stem) :]]
 
@@ -173,8 +179,9 @@ def id_counts(ids: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in slices(batches, "ids"):
-            for packed in b.column(b.schema.get_field_index("ids")).to_pylist():
-                n = np.bincount(_unpack(packed))
+            rows = b.column(b.schema.get_field_index("ids")).to_pylist()
+            for flag, kind in ((2, "<u2"), (4, "<u4")):
+                n = np.bincount(np.frombuffer(b"".join([x[1:] for x in rows if x[0] == flag]), kind))
                 if len(n) > len(total):
                     total = np.pad(total, (0, len(n) - len(total)))
                 total[: len(n)] += n
