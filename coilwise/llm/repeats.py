@@ -136,13 +136,19 @@ def locate(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
     for blob in blobs:
         for d, k, w, m, t in zip(*(x.tolist() if isinstance(x, np.ndarray) else x for x in unpack(blob)), strict=True):
             texts.setdefault(m, {}).setdefault(t, []).append((d, k, w))
+    out: list[tuple[int, int, int, int]] = []
     numbers: dict[bytes, int] = {}
     first: dict[tuple, int] = {}
     recurring: set[tuple] = set()
     streams: list[tuple[tuple, list[tuple[int, int, int]]]] = []
     for group in texts.values():
-        if len(group) == 1 and len({d for d, _, _ in next(iter(group.values()))}) == 1:
-            continue  # one document alone
+        if len(group) == 1:
+            # all windows of a minimiser are here, so those of its only text start in these places alone
+            (t, places), = group.items()
+            if len(places) > 1:
+                low, size = min(places)[0], t.count(b" ") + 1
+                out.extend((d, k, w, size) for d, k, w in sorted(set(places)) if d > low)
+            continue
         for t, places in group.items():
             ids = tuple(numbers.setdefault(w, len(numbers) + 1) for w in t.split(b" "))
             low, high = min(places)[0], max(places)[0]
@@ -159,12 +165,11 @@ def locate(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
                         first[w] = low
             streams.append((ids, sorted(set(places))))  # rows that repeat ask the same
     if not recurring:
-        return []
+        return out
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for w in recurring:
         automaton.add_word(w, first[w])
     automaton.make_automaton()
-    out = []
     for ids, places in streams:
         hits = [(end - WINDOW + 1, f) for end, f in automaton.iter(ids)]
         if not hits:

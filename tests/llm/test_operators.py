@@ -413,3 +413,12 @@ def test_texts_of_few_tokens(spark):
     texts = ["", None, "a b c d e f g", "a b c d e f g h", "-" * 500 + " a b c d e f g h", "-" * 500 + " a b c", "x" * 600 + " b c d e f g", "1.5 " * 8]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     assert sorted(r.doc_id for r in templates._of_few_tokens(df).collect()) == [0, 2, 5, 6]
+
+
+def test_segments_of_one_text_need_no_search(monkeypatch):
+    text = b" ".join(b"w%d" % i for i in range(20))
+    ids, marks, words, one = np.array([7, 3, 3, 9]), np.array([1, 2, 5, 4]), np.array([0, 4, 4, 30]), np.zeros(4, np.int64)
+    blob = repeats.pack(ids, marks, words, one, [text] * 4)
+    monkeypatch.setattr(repeats.ahocorasick, "Automaton", None)
+    assert sorted(repeats.locate([blob])) == [(7, 1, 0, 20), (9, 4, 30, 20)]
+    assert repeats.locate([repeats.pack(ids[1:3], marks[1:3], words[1:3], one[1:3], [text] * 2)]) == []  # one doc_id alone
