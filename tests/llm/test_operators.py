@@ -422,3 +422,18 @@ def test_segments_of_one_text_need_no_search(monkeypatch):
     monkeypatch.setattr(repeats.ahocorasick, "Automaton", None)
     assert sorted(repeats.locate([blob])) == [(7, 1, 0, 20), (9, 4, 30, 20)]
     assert repeats.locate([repeats.pack(ids[1:3], marks[1:3], words[1:3], one[1:3], [text] * 2)]) == []  # one doc_id alone
+
+
+def test_pieces_are_learnt_without_offsets_and_counted_by_slice(spark, monkeypatch):
+    texts = ["a.b, c!! d's \"Σίσυφος\" İstanbul, x-ray 12, 3.5. (ok) ... !a", "", "one, one! one one", "naïve straße? ŉ."]
+    tool = token_files.Tokeniser(token_files.default_tokenizer())
+    tool.ids(["a"])
+    asked = []
+    whole = token_files.Tokeniser._whole
+    monkeypatch.setattr(token_files.Tokeniser, "_whole", lambda self, x: asked.append(len(x)) or whole(self, x))
+    got = tool.ids(texts)
+    assert asked and got == whole(tool, texts)
+    tool.forget()
+    lists = [np.array([5, 5, 7], np.uint32), np.array([70_000, 5], np.uint32), np.array([], np.uint32)]
+    rows = spark.createDataFrame([(bytearray(token_files._pack(x)),) for x in lists], "ids binary").coalesce(1)
+    assert {r.id: r.n for r in token_files.id_counts(rows).collect()} == {1: 3, 5: 3, 7: 1, 70_000: 1}
