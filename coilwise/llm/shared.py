@@ -16,7 +16,7 @@ from ..session import ensure_checkpoint_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"  # whole texts are large rows
-HEAP = 0.4
+HEAP = 0.5
 _forget: dict[str, Callable[[], None]] = {}
 
 
@@ -36,12 +36,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def _tidy(spark: SparkSession) -> None:
-    """Let the driver give back what the queries before have left, once that fills HEAP of its heap.
+    """Let the driver give back what the queries before have left, once its heap has grown to HEAP of its limit.
 
-    Operators of many short queries would otherwise grow the heap to its limit, far above what lives in it.
+    Operators of many short queries would otherwise grow the heap to its limit, far above what lives in it. What
+    counts is the heap that the JVM holds, which young collections empty but do not give back.
     """
     heap = spark._jvm.java.lang.Runtime.getRuntime()
-    if heap.totalMemory() - heap.freeMemory() > HEAP * heap.maxMemory():
+    if heap.totalMemory() > HEAP * heap.maxMemory():
         spark._jvm.System.gc()
         pa.default_memory_pool().release_unused()
 

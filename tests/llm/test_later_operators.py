@@ -201,3 +201,17 @@ def test_driver_gives_memory_back(spark, monkeypatch):
     monkeypatch.setattr(shared, "HEAP", 0.0)
     shared.stored(spark.range(3), "tidy")
     assert full() > before
+
+
+def test_driver_gives_a_grown_heap_back(spark, monkeypatch):
+    from coilwise.llm import shared
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    spark._jvm.System.gc()
+    before = full()
+    # little of the heap is in use, but it has grown to its limit
+    monkeypatch.setattr(shared, "HEAP", 0.99 * heap.totalMemory() / heap.maxMemory())
+    shared.stored(spark.range(3), "tidy")
+    assert full() > before
