@@ -26,6 +26,7 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ LIMIT = 18
 BLOCK = 1 << 18
 STEP = 256
 REMEMBER = 1_100_000  # pieces that a worker learns before it lets go of those not seen since it last did
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 _known: dict[str, dict[str, bytes]] = {}
 _older: dict[str, dict[str, bytes]] = {}
@@ -115,20 +116,32 @@ class Tokeniser:
             _apart[self.file] = self._cuts()
         if not _apart[self.file]:
             return self._whole(texts)
+        if not texts:
+            return []
         # the tokenizer lower-cases letter by letter; the two letters whose case hangs on context or length stay
-        cut = [(t if "Σ" in t or "İ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        pieces = set().union(*cut)
+        low = [(t if "Σ" in t or "İ" in t else t.lower()).replace("\n", " ") for t in texts]
+        cut = pc.split_pattern(pa.array(low, pa.large_string()), " ")
+        pieces = cut.values.dictionary_encode()  # each distinct piece is looked up once
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBER:
             _older[self.file], self.known = self.known, {"": b""}
             _known[self.file] = self.known
-        older = _older.get(self.file, {})
-        new = pieces.difference(self.known)
-        again = {p: older[p] for p in new if p in older}
-        self.known.update(again)
-        new.difference_update(again)  # never of all that is known, which would be walked through
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        found = list(map(self.known.get, distinct))
+        unknown = [i for i, x in enumerate(found) if x is None]
+        if unknown:
+            older = _older.get(self.file, {})
+            new = {distinct[i] for i in unknown}
+            again = {p: older[p] for p in new if p in older}
+            self.known.update(again)
+            new.difference_update(again)  # never of all that is known, which would be walked through
+            if new:
+                self._learn(new)
+            for i in unknown:
+                found[i] = self.known[distinct[i]]
+        ids = pa.array(found, pa.large_binary()).take(pieces.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(b"" if ids.buffers()[2] is None else ids.buffers()[2])
+        return [bytes(data[a:z]) for a, z in zip(at, at[1:], strict=False)]
 
 
 def tokenised(docs: DataFrame, file: str, ranges: int) -> tuple[DataFrame, str]:

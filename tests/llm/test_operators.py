@@ -437,3 +437,24 @@ def test_pieces_are_learnt_without_offsets_and_counted_by_slice(spark, monkeypat
     lists = [np.array([5, 5, 7], np.uint32), np.array([70_000, 5], np.uint32), np.array([], np.uint32)]
     rows = spark.createDataFrame([(bytearray(token_files._pack(x)),) for x in lists], "ids binary").coalesce(1)
     assert {r.id: r.n for r in token_files.id_counts(rows).collect()} == {1: 3, 5: 3, 7: 1, 70_000: 1}
+
+
+def test_pieces_are_looked_up_once_a_slice():
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key, other=None):
+            Counting.asked += 1
+            return super().get(key, other)
+
+    tool = token_files.Tokeniser(token_files.default_tokenizer())
+    texts = ["", "the cat, the dog  the\nΣ cat", "the " * 500, " "]
+    want = tool.ids(texts)
+    assert want == tool._whole(texts)
+    tool.known = Counting(tool.known)
+    assert tool.ids(texts) == want and Counting.asked <= 10
+    assert tool.ids([]) == [] and tool.ids(["", ""]) == [b"", b""]
