@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import tiling_choice
-from ..session import reuse
+from ..session import by_frame, reuse
 from .coil import frame_results
 from .matching import nms
 from .tiling import sliding_tiles
@@ -34,8 +34,10 @@ def score_batches(items: DataFrame, scorer: Scorer, id_cols: Sequence[str], size
         for pdf in batches:
             found, rows, times = [], [], []
             for _, at in pdf.groupby(sizes, sort=True).indices.items():
+                same = pdf.take(at)
                 for a in range(0, len(at), chunk):
-                    part = pdf.take(at[a:a + chunk]).reset_index(drop=True)
+                    part = same.iloc[a:a + chunk].copy()
+                    part.index = pd.RangeIndex(len(part))
                     t0 = time.perf_counter()
                     boxes = scorer(part)
                     ms = (time.perf_counter() - t0) * 1000 / len(part)
@@ -51,9 +53,12 @@ def score_batches(items: DataFrame, scorer: Scorer, id_cols: Sequence[str], size
 
 
 def tiled_inspection(frames: DataFrame, scorer: Scorer, tile: int = 256, overlap: float = 0.2, max_iou: float = 0.45, mode: str = "auto") -> DataFrame:
-    """Frames to verdicts: tiling decision, tiles, scoring, lifting, suppression across tiles, roll-up."""
+    """Frames to verdicts: tiling decision, tiles, scoring, lifting, suppression across tiles, roll-up.
+
+    Frames are small rows that take much work, so they are dealt to tasks by number (``by_frame``), not by their size.
+    """
     choice = tiling_choice("width", "height", tile, mode)
-    f = frames.withColumn("tiled", choice["tiled"])
+    f = by_frame(frames).withColumn("tiled", choice["tiled"])
     cut = sliding_tiles(f.where("tiled"), tile, overlap).select("frame_id", "x0", "y0", "tile_w", "tile_h")
     whole = f.where("not tiled").select("frame_id", F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("width").alias("tile_w"), F.col("height").alias("tile_h"))
     tiles = cut.unionByName(whole).withColumn("tile_id", F.xxhash64("frame_id", "x0", "y0"))

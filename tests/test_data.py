@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from coilwise.operators import photometric as ph
@@ -181,6 +182,18 @@ def test_scores_do_not_depend_on_neighbours(spark):
     assert whole == run(items, 1) and run(items.where("frame_id < 10"), 8) == {r for r in whole if r[0] < 10} and whole
 
 
+def test_tiles_of_one_small_file_are_scored_by_many_tasks(spark, tmp_path):
+    at = str(tmp_path)
+
+    def scorer(tiles):
+        open(f"{at}/{TaskContext.get().partitionId()}", "a").close()
+        return stripe_scorer(tiles)
+
+    frames = spark.range(200).coalesce(1).select(F.col("id").alias("frame_id"), F.col("id").alias("coil_id"), F.lit(1200).alias("width"), F.lit(300).alias("height"), F.lit(1.0).alias("total_ms"))
+    assert sc.tiled_inspection(frames, scorer).count() == 200
+    assert len(list(tmp_path.iterdir())) >= 4
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     src = tmp_path / "in"
     mk = lambda rows, n: spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").coalesce(1).write.mode("append").parquet(str(src))
