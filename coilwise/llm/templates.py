@@ -11,8 +11,10 @@ one document and item that lie on one diagonal are a candidate; it counts if it
 all of a shorter item; of templates alone, all that the item has) and its slots are consistent: each
 value in the item stands for one value in the document. Capitals are left out where the rest suffices.
 
-Documents are read once; windows are made and joined where the text lies. Benchmark windows are broadcast
-up to BROADCAST of them, which is checked; beyond that the join shuffles.
+Documents are read once; windows are made where the text lies and looked up there among the hashes of the
+benchmark, which are broadcast up to HASHES of them. What is found goes on as the window alone, never with the
+lists of its document, and meets the windows of the benchmark, which are broadcast up to BROADCAST bytes. Both
+are checked; beyond them the joins shuffle.
 
 Defined cases: null or empty texts and items match nothing; items of LITERALS to WINDOW - 1 tokens are
 looked for by a window of their own length, everywhere in a document, and as templates only if LITERALS
@@ -35,7 +37,9 @@ from .shared import row_key, stored
 WINDOW = 8
 NEEDED = 13
 LITERALS = 4
-BROADCAST = 500_000
+HASHES = 3_000_000  # some 56 bytes each
+BROADCAST = 48 << 20
+ITEMS = 500  # small rows, much work: not left to the size of partitions
 NAME, UNIT = "ℕ", "ℚ"  # letters that texts don't use as words
 TOKEN = r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+"
 #: Units that may follow a number.
@@ -115,8 +119,19 @@ def _proper(items: DataFrame) -> DataFrame:
     return words.join(common, "word", "left_anti").groupBy("item_id").agg(F.collect_set("word").alias("proper"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def _small(df: DataFrame, *lists: str) -> DataFrame:
+    """Broadcast what holds up to BROADCAST bytes, as rows with these lists come to."""
+    held = F.length("window") + sum((64 * F.size(c) for c in lists), F.lit(200))
+    return F.broadcast(df) if (df.agg(F.sum(held)).first()[0] or 0) <= BROADCAST else df
+
+
+def _looked_up(probed: DataFrame, each: DataFrame, *keys: str) -> DataFrame:
+    """(keys, len, at, hash, words, and the window in each form) of the windows that may be in the benchmark."""
+    hashes = each.select("hash").distinct()
+    if hashes.count() <= HASHES:
+        probed = probed.join(F.broadcast(hashes), "hash", "left_semi")
+    words = F.slice("raw", F.col("at") + 1, F.col("len")).alias("words")
+    return probed.select(*keys, "len", "at", "hash", words, *[_text(f).alias(f"{f}_window") for f in ("raw", "tokens", "caps")])
 
 
 def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +139,8 @@ def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Items of LITERALS to WINDOW - 1 tokens have one window, of their own length.
     """
-    t = _forms(items, "item_id").join(_proper(items), "item_id", "left")
+    tasks = min(items.count() // ITEMS + 1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    t = _forms(items.repartition(tasks, "item_id") if tasks > 1 else items, "item_id").join(_proper(items), "item_id", "left")
     mid = F.transform(F.filter(F.arrays_zip("raw", "tokens"), lambda x: x["tokens"] == NAME), lambda x: x["raw"])
     t = t.withColumn("known", F.array_union(F.coalesce("proper", F.array().cast("array<string>")), mid)).drop("proper")
     w = _windows(t.where(F.size("raw") >= LITERALS).withColumn("own", F.least(F.size("raw"), F.lit(WINDOW))), list(range(LITERALS, WINDOW + 1))).where("len = own")
@@ -154,18 +170,17 @@ def _found(docs: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
     each, _ = stored(each, "windows")
     lengths = sorted(r[0] for r in each.select("len").distinct().collect()) or [WINDOW]
     d = _forms(docs, *keys)
-    b = _small(each.withColumnRenamed("at", "item_at").withColumnRenamed("len", "item_len"))
+    b = _small(each.withColumnRenamed("at", "item_at").withColumnRenamed("len", "item_len"), "slots", "fixed")
     h = [F.col(f"h{i}") for i in range(3)]
     probes = F.explode(F.array(h[0], F.when(h[1] != h[0], h[1]), F.when(h[2] != h[1], h[2])))
     probed = _windows(d, lengths).withColumns({"h0": _hash("raw"), "h1": _hash("tokens"), "h2": _hash("caps")}).withColumn("hash", probes).where("hash IS NOT NULL")
-    hit = probed.join(b, "hash").where(F.col("len") == F.col("item_len"))
-    plain = (_text("raw") == F.col("window")) | (_text("tokens") == F.col("window"))
-    # no lambda here: with one, the join would copy a document's lists for each of its windows
+    hit = _looked_up(probed, each, *keys).join(b, "hash").where(F.col("len") == F.col("item_len"))
+    plain = (F.col("raw_window") == F.col("window")) | (F.col("tokens_window") == F.col("window"))
     for j in range(WINDOW):
-        hit = hit.where(F.coalesce(F.get("fixed", F.lit(j)) == F.get("raw", F.col("at") + j), F.lit(True)))
-    hit = hit.where(plain | (_text("caps") == F.col("window")))
+        hit = hit.where(F.coalesce(F.get("fixed", F.lit(j)) == F.get("words", F.lit(j)), F.lit(True)))
+    hit = hit.where(plain | (F.col("caps_window") == F.col("window")))
     hit = hit.withColumn("start", F.col("start") | ~plain)
-    pairs = F.transform("slots", lambda s: F.struct(s["type"].alias("type"), s["value"].alias("item"), F.get("raw", F.col("at") + s["j"]).alias("doc")))
+    pairs = F.transform("slots", lambda s: F.struct(s["type"].alias("type"), s["value"].alias("item"), F.get("words", s["j"]).alias("doc")))
     found = hit.select(*keys, "item_id", "len", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "all", "templates", "template", "start", pairs.alias("pairs"))
     union = lambda when: F.array_distinct(F.flatten(F.collect_set(F.when(when, F.col("pairs")))))
     places = lambda when: F.size(F.collect_set(F.when(when, F.col("at"))))
@@ -187,7 +202,7 @@ def _found(docs: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
     zipped = F.zip_with(F.arrays_zip("tokens", "raw"), "doc_raw", lambda i, r: F.struct(i["tokens"].alias("type"), i["raw"].alias("item"), r.alias("doc")))
     # what has a window of its own is found above
     few = (F.size("raw") < LITERALS) | ((F.size(F.filter("tokens", is_slot)) > F.size("raw") - LITERALS) & (F.col("raw") != F.col("doc_raw")))
-    same = whole.join(_small(short), "window").where(few).select(*keys, "item_id", F.lit(1).cast("bigint").alias("windows"), F.array_distinct(F.filter(zipped, lambda p: is_slot(p["type"]))).alias("pairs"))
+    same = whole.join(_small(short, "tokens", "raw"), "window").where(few).select(*keys, "item_id", F.lit(1).cast("bigint").alias("windows"), F.array_distinct(F.filter(zipped, lambda p: is_slot(p["type"]))).alias("pairs"))
     runs = runs.select(*keys, "item_id", "windows", "pairs", "shown").unionByName(same.withColumn("shown", F.col("pairs")))
     of_item = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p["item"])))
     runs = runs.where(F.size(of_item) == F.size("pairs"))

@@ -114,6 +114,24 @@ def test_templates_in_any_case_and_after_sentence_ends(spark):
     assert got == {(1, 1): 0, (2, 1): 0, (3, 2): 0, (4, 3): 3, (5, 2): 0}
 
 
+def test_templates_shuffle_windows_without_their_documents(spark, monkeypatch):
+    """A benchmark too large to broadcast: rows that meet it hold a window, not the lists of a document, and find the same."""
+    items = spark.createDataFrame([(i, ITEM.replace("Anna", f"Anna{'xyz'[i % 3] * i}")) for i in range(40)], "item_id bigint, text string")
+    d = spark.createDataFrame([(i, LONG[: 500 * i] + " " + ITEM.replace("12", str(i))) for i in range(8)], "doc_id bigint, text string")
+    want = sorted(map(tuple, templates.leaks(d, items).collect()))
+    for name, most in (("HASHES", 0), ("BROADCAST", -1), ("ITEMS", 10)):
+        monkeypatch.setattr(templates, name, most, raising=False)
+    got = templates.leaks(d, items)
+    assert sorted(map(tuple, got.collect())) == want and {r[:2] for r in want} >= {(i, 0) for i in range(8)}
+
+    def wide(node):
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        own = [k for k in kids if "caps" in [k.output().apply(i).name() for i in range(k.output().size())]] if node.nodeName() == "Join" else []
+        return own + [x for k in kids for x in wide(k)]
+
+    assert not wide(got._jdf.queryExecution().optimizedPlan())
+
+
 @pytest.mark.parametrize("shard", [1 << 9, 8 << 20])
 def test_repeats(docs, none, shard):
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in repeats.removals(docs, shard).collect())
