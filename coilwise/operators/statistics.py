@@ -14,8 +14,7 @@ from pyspark.sql import types as T
 from ..functions.geometry import dbl
 from ..functions.hashing import unit_hash
 from ..functions.stats import ratio
-from .metrics import lane_precision
-from .resampling import weighted_auc, weighted_sums
+from .resampling import weighted_auc, weighted_counts, weighted_precision, weighted_sums
 from ..session import reuse
 from .scale import exact_quantiles, running
 
@@ -138,24 +137,21 @@ def cluster_auc_interval(scores: DataFrame, cluster: str, resamples: int = 2000,
 
 # ---------------------------------------------------------------- paired comparison of models
 
-def paired_map_draws(flagged: DataFrame, gts: DataFrame, frames: DataFrame, resamples: int, seed: str = "map") -> DataFrame:
+def paired_map_draws(flagged: DataFrame, gts: DataFrame, frames: DataFrame, resamples: int = 2000, seed: str = "map") -> DataFrame:
     """mAP of every model on the same resamples of frames: (b, model, mean_ap).
 
-    ``flagged`` holds model, frame_id, class_id, det_id, conf, is_tp for all models together. A frame carries how
-    often it is drawn as one array over all resamples, so a box is one row and is ranked once for all of them.
+    ``flagged`` holds model, frame_id, class_id, det_id, conf, is_tp for all models together. A frame weighs Poisson(1)
+    in a resample, whichever model or label is counted, and its weights are drawn where its rows lie (``resampling``).
     """
-    spark = frames.sparkSession
-    ids = cluster_index(frames.select("frame_id"), "frame_id")
-    times = F.array(*[F.count(F.when(F.col("b") == i, 1)).cast("int") for i in range(resamples)])
-    w = draws(spark, frames.count(), resamples, seed).groupBy("idx").agg(times.alias("w")).join(ids, "idx").select("frame_id", "w")
-    rows = flagged.select("model", "frame_id", "class_id", "det_id", "conf", F.col("is_tp").cast("int").alias("hit")).join(w, "frame_id")
-    labels = gts.groupBy("frame_id", "class_id").agg(F.count(F.lit(1)).alias("g")).join(w, "frame_id").groupBy("class_id").agg(
-        F.array(*[F.sum(F.col("g") * F.get("w", F.lit(i))) for i in range(resamples)]).alias("n"))
-    labels = labels.select("class_id", F.posexplode("n").alias("lane", "n_labels"))
+    on = frames.select("frame_id").distinct()
+    labels = gts.groupBy("frame_id", "class_id").agg(F.count(F.lit(1)).alias("g")).join(on, "frame_id", "left_semi")
+    counts: dict[tuple, np.ndarray] = {}
+    for row in weighted_counts(labels, ["class_id"], "frame_id", "g", resamples, seed).toLocalIterator():
+        counts.setdefault(row["class_id"], np.zeros(resamples, np.int64))[row["b"]] = row["n"]
     models = [r[0] for r in flagged.select("model").distinct().collect()]  # a handful of model names
-    labels = labels.withColumn("model", F.explode(F.array(*[F.lit(m) for m in sorted(models)])))
-    ap = lane_precision(rows, labels, ("model", "class_id"), "conf", ("frame_id", "det_id"), "hit", resamples, "w")
-    return ap.groupBy(F.col("lane").cast("bigint").alias("b"), "model").agg(F.avg("ap").alias("mean_ap"))
+    rows = flagged.join(on, "frame_id", "left_semi")
+    ap = weighted_precision(rows, {(m, c): n for m in models for c, n in counts.items()}, ("model", "class_id"), "conf", ("frame_id", "det_id"), "frame_id", "is_tp", resamples, seed)
+    return ap.groupBy("b", "model").agg(F.avg("ap").alias("mean_ap"))
 
 
 def paired_summary(samples: DataFrame, a: str, b: str, value: str = "mean_ap") -> DataFrame:

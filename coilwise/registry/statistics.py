@@ -107,7 +107,7 @@ def paired_map_bootstrap(spark, d):
     a, gts, _ = flagged(spark, d)
     b, _, _ = flagged(spark, d, "B")
     both = a.unionByName(b)
-    draws = reuse(st.paired_map_draws(both, gts, t.frames(spark, d), 10))
+    draws = reuse(st.paired_map_draws(both, gts, t.frames(spark, d), RESAMPLES))
     return st.paired_summary(draws, "A", "B")
 
 

@@ -57,3 +57,58 @@ def test_auc_draws_a_cluster_once_and_is_the_same_by_cells(spark, monkeypatch):
     by_score = sorted(rs.weighted_auc(df, "c", 30, "t").collect())
     monkeypatch.setattr(rs, "SCORES", 3)
     assert by_score == sorted(rs.weighted_auc(df, "c", 30, "t").collect()) and len(by_score) == 30
+
+
+def test_lanes_are_poisson_and_independent():
+    lanes = rs.Lanes(401)
+    w = np.vstack([lanes.weights(np.arange(a, a + 20)).copy() for a in range(0, 400, 20)]).astype(float)
+    assert w.shape == (400, 401) and abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+    for x in (w, w.T):
+        off = np.corrcoef(x)[np.triu_indices(400, 1)]
+        assert abs(off.mean()) < 0.002 and off.std() < 0.055
+    assert (65536 - rs.LIMITS_16.astype(int)).sum() == 65536 and rs.BLOCK * len(rs.LIMITS_16) < 256
+    assert (rs.Lanes(50).weights(np.array([-7])) == lanes.weights(np.array([-7]))[:, :50]).all()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_weighted_precision_equals_lanes_with_the_weights_as_an_array(spark, parts):
+    from pyspark.sql import functions as F
+
+    from coilwise.operators.metrics import lane_precision
+
+    rng = np.random.default_rng(3)
+    n, lanes = 900, 23
+    rows = [("AB"[i % 2], int(c), int(f), i, round(float(s), 2), bool(rng.random() < s)) for i, (c, f, s) in enumerate(zip(rng.integers(0, 3, n), rng.integers(0, 40, n), rng.random(n), strict=True))]
+    rows += [("A", 4, 1, n + 1, 0.5, False), ("A", None, 1, n + 2, 0.5, True), ("B", 7, 1, n + 3, 0.5, True)]
+    df = spark.createDataFrame(rows, "model string, class_id int, frame_id bigint, det_id bigint, conf double, is_tp boolean")
+    labels = {0: 900, 1: 150, 2: 3, 4: 5, 5: 2}  # 2: more hits than labels, 5: no rows at all
+    counts = {(m, c): rng.integers(0, 2 * g, lanes) for c, g in labels.items() for m in "AB"}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {tuple(r)[:3]: r.ap for r in rs.weighted_precision(df, counts, ("model", "class_id"), "conf", ("frame_id", "det_id"), "frame_id", "is_tp", lanes, "m").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    hashes = {r.id: r.h for r in spark.range(40).select("id", F.xxhash64(F.lit("m"), F.col("id").cast("string")).alias("h")).collect()}
+    w = spark.createDataFrame([(f, rs.Lanes(lanes).weights(np.array([h]))[0].astype(int).tolist()) for f, h in hashes.items()], "frame_id bigint, w array<int>")
+    base = spark.createDataFrame([(*key, b, int(v)) for key, vs in counts.items() for b, v in enumerate(vs)], "model string, class_id int, lane int, n_labels bigint")
+    rows = df.join(w, "frame_id").withColumn("hit", F.col("is_tp").cast("int"))
+    want = {(r.model, r.class_id, r.lane): r.ap for r in lane_precision(rows, base, ("model", "class_id"), "conf", ("frame_id", "det_id"), "hit", lanes, "w").collect()}
+    assert set(got) == set(want) and len(got) == 10 * lanes
+    assert all((got[k] is None) == (want[k] is None) for k in want) and any(v is None for v in want.values())
+    assert max(abs(got[k] - want[k]) for k in want if want[k] is not None) < 1e-12
+
+
+def test_weighted_counts(spark):
+    df = spark.createDataFrame([(c, f, c + f % 2) for c in range(3) for f in range(70)], "c int, f bigint, n bigint").repartition(3)
+    got = {(r.c, r.b): r.n for r in rs.weighted_counts(df, ["c"], "f", "n", 9, "m").collect()}
+    from pyspark.sql import functions as F
+    w = np.vstack([rs.Lanes(9).weights(np.array([r.h])) for r in spark.range(70).select(F.xxhash64(F.lit("m"), F.col("id").cast("string")).alias("h")).collect()]).astype(int)
+    assert got == {(c, b): sum(int(w[f, b]) * (c + f % 2) for f in range(70)) for c in range(3) for b in range(9)}
+
+
+def test_paired_bootstrap_is_registered_with_all_resamples(spark, sf, monkeypatch):
+    from coilwise.registry import statistics as q
+
+    asked, draws = [], st.paired_map_draws
+    monkeypatch.setattr(st, "paired_map_draws", lambda flagged, gts, frames, resamples=2000: asked.append(resamples) or draws(flagged, gts, frames, 8))
+    assert q.paired_map_bootstrap(spark, sf).count() == 1 and asked == [2000]
