@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,14 @@ def test_empty_frames_keep_schema(spark):
     dets = spark.createDataFrame([], "frame_id bigint, det_id bigint, class_id int, conf double, x1 double, y1 double, x2 double, y2 double")
     res = c.frame_results(frames, dets)
     assert len(c.frame_export(res, "m", 0.1, 0.4).columns) == 15 and c.disposition(c.coil_stats(res)).count() == 0
+
+
+def test_md5_prefixes_equal_hashlib():
+    from coilwise.functions.hashing import md5_prefixes
+
+    rng = np.random.default_rng(2)
+    heads = [f"seed:{v}:60:".encode() for v in (0, 7, -12, 99, 12345, 10**18, "x" * 60, "é")]
+    tails = [b"%d:%d" % (x, y) for x in (0, 5, 130, 99990) for y in (0, 10, 1000)]
+    head, tail = rng.integers(0, len(heads), 20_000), rng.integers(0, len(tails), 20_000)
+    want = [int(hashlib.md5(heads[h] + tails[t]).hexdigest()[:16], 16) for h, t in zip(head, tail, strict=True)]
+    assert md5_prefixes(heads, tails, head, tail).tolist() == want
